@@ -37,6 +37,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tomolake.llm import pii
+
+    return pii.replace(_table(spark, sf_dir, "documents"), b"corpus-key-1").select("doc_id", "text", "n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and callable(v)}
 
