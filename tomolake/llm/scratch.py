@@ -92,3 +92,34 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             remove(both)
             return labels
     raise RuntimeError("components did not settle")
+
+
+def _marked(df: DataFrame, key: str, ids: DataFrame, bits: int) -> DataFrame:
+    """``df`` with ``_maybe``: false only where ``key`` is surely not in ``ids`` (one column)."""
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(1 << bits))
+
+    h = ids.select(place(F.col(ids.columns[0])).alias("h"))
+    table = h.groupBy(F.expr("bitmap_bucket_number(h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
+    rows = df.withColumn("_h", place(F.col(key).cast(ids.schema[0].dataType))).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)")).withColumn("_at", F.expr("bitmap_bit_position(_h)"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr("cast(pow(2, _at % 8) as int)")) != 0
+    return rows.join(F.broadcast(table), "_bucket", "left").withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_h", "_bucket", "_at", "_bits")
+
+
+def prefiltered(df: DataFrame, key: str, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``ids`` (one column), before a join that decides.
+
+    A bit table of at most 2**bits bits (8 MB) is broadcast, in rows of 4 KB; it
+    has false positives only. Long rows that the join would drop then need no shuffle.
+    """
+    return _marked(df, key, ids, bits).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``ids``; only those that the bit table finds are shuffled."""
+    marked = _marked(df, key, ids, bits)
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    asked = marked.where("_maybe").drop("_maybe")
+    return marked.where("not _maybe").drop("_maybe").unionByName(asked.join(gone, asked[key] == gone["_gone"], "left_anti"))
