@@ -11,6 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target weights of the registered mix; paths that are not named weigh 1.
+MIX_WEIGHTS = {
+    ("web",): 3.0,
+    ("books",): 2.0,
+    ("news",): 2.0,
+    ("code",): 1.0,
+    ("forum",): 2.0,
+    **{(d, lang): w for d in ("web", "books", "news", "code", "forum") for lang, w in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 2.0))},
+}
+
+
+def mix_plan(total: int):
+    """Half of the corpus' tokens, at most two epochs of any document."""
+    from tomolake.llm.mixing import Plan
+
+    return Plan(tokens=total // 2, weights=MIX_WEIGHTS, epochs=2, seed=17)
+
+
+def op1_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tomolake.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), mix_plan).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "leaf_budget")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tomolake.llm import decontam
 
@@ -31,6 +55,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tomolake.llm import langid
+
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return langid.predict(_table(spark, sf_dir, "documents")).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tomolake.llm.jaccard import jaccard_join
 
