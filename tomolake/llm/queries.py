@@ -67,6 +67,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tomolake.llm import chatpack
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = rows.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    return chatpack.digests(*chatpack.pack(rows))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
