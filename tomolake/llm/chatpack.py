@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.llm import scratch
+from tomolake.llm.textkit import lean
 
 TURN, END = "<|turn|>", "<|end|>"
 _CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])|<(?=/?(?:bos|eos|pad|unk)>)")
@@ -133,6 +134,7 @@ def _packed(vocabulary: str | None, most_tokens: int):
         one = [np.concatenate(p.ids), np.concatenate(p.position), np.concatenate(p.loss), p.start, p.end, p.parent, p.attend, [d for d, _ in p.leaves], [n for _, n in p.leaves]]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one, _PACK, strict=True)], schema=_PACK)
 
+    @lean
     def run(batches):
         codec = _codec(vocabulary)
         pack: Pack | None = None
@@ -207,6 +209,7 @@ DIGEST_DDL = "digest string, n_turns long, turns_sha256 string, loss_chars long,
 
 
 def _digests(vocabulary: str | None):
+    @lean
     def run(batches):
         codec = _codec(vocabulary)
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.textkit import U, chunks, mix, utf8
+from tomolake.llm.textkit import U, chunks, lean, mix, utf8
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not (48 <= c < 58 or 97 <= c < 123)]] = 32
@@ -232,6 +232,7 @@ def find(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> Da
     for k, index in enumerate(slices(benchmark, bounds)):
         shared = spark.sparkContext.broadcast(index)
 
+        @lean
         def run(batches, shared=shared):
             x = shared.value
             for batch in batches:
@@ -250,6 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> D
     for index in slices(benchmark, bounds):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @lean
         def run(batches, shared=shared):
             for batch in batches:
                 bad = {h[0] for h in _of_batch(shared.value, batch.column("text").cast(pa.large_string()))}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomolake.llm.textkit import utf8
+from tomolake.llm.textkit import lean, utf8
 
 LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.zeros(256, bool)
@@ -208,6 +208,7 @@ def probabilities(net: Network, data: np.ndarray, off: np.ndarray, shape: Shape,
 
 
 def _predicted(names: list[str], net: Network | None, shape: Shape):
+    @lean
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):

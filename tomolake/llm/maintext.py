@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomolake.llm.textkit import lean
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:\-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -209,6 +211,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(out)
 
 
+@lean
 def _extracted(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):

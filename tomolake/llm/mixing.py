@@ -58,7 +58,7 @@ def domain_column(source: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Tokens as words between white space."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def budgets(held: dict[Path, int], plan: Plan) -> dict[Path, float]:

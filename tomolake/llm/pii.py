@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomolake.llm import scratch
+from tomolake.llm.textkit import lean
 
 #: Given names by (script, gender); fixed values, in common use.
 GIVEN = {
@@ -277,6 +278,7 @@ def surrogates(docs: DataFrame, key: bytes, rounds: dict[str, int]) -> DataFrame
     """Every distinct entity of the corpus: (kind, canonical, surrogate)."""
     state = tuple(sorted(rounds.items()))
 
+    @lean
     def run(batches):
         keyed = _keyed(key, state)
         for batch in batches:
@@ -312,6 +314,7 @@ def replace(docs: DataFrame, key: bytes, count: str | None = "n_entities") -> Da
     docs = docs.withColumn("text", F.col("text").cast("string"))
     state = tuple(sorted(settle(docs, key).items()))
 
+    @lean
     def run(batches):
         keyed = _keyed(key, state)
         for batch in batches:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -50,7 +54,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 4 << 20):
+def chunks(offsets: np.ndarray, most: int = (1 << 20) - 64):
     """Ranges of texts with at most ``most`` bytes together; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -115,3 +119,21 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
         a = mix(np.array([s.sum(dtype=U) + U(len(s))], U))
         b = mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))], U))
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+
+
+def lean(run):
+    """A map over batches that gives its memory back at the end: Python workers live on, and share an executor's memory with its JVM."""
+
+    @functools.wraps(run)
+    def wrapped(*frames):
+        try:
+            yield from run(*frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
