@@ -1,21 +1,596 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: this engine's operators over the driver's tables.
+
+Subjects are ``customer`` (c_custkey), observations ``orders`` (o_orderkey, foreign
+key o_custkey), volumes ``embeddings`` (64 floats as 4 x 4 x 4 in C order), labels
+``labels``; each has its SQL in ``oracles``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tomolake.functions import naming
+from tomolake.operators import frames, samples, voxels
+from tomolake.operators.index import positions
+from tomolake.plans.predicate import predicate, where
+from tomolake.streaming.windows import first_of_key, windowed
+
+SHAPE = (4, 4, 4)
+PATCH = (2, 2, 2)
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(f):
+    _Q[f.__name__] = f
+    return f
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def _meta(s, d):
+    return _t(s, d, "customer")
+
+
+def _obs(s, d):
+    return _t(s, d, "orders")
+
+
+def _vol(s, d):
+    return _t(s, d, "embeddings")
+
+
+# -- metadata ---------------------------------------------------------------------------------
+
+
+@_query
+def meta_scan(s, d):
+    return _meta(s, d).where(predicate("c_acctbal > 0", ["c_acctbal"])).select("c_custkey", "c_name", "c_acctbal")
+
+
+@_query
+def subject_filter(s, d):
+    return where(_meta(s, d), "c_acctbal > 5000 and c_mktsegment == 'BUILDING'").select("c_custkey", "c_name")
+
+
+@_query
+def subject_filter_in(s, d):
+    return where(_meta(s, d), "(c_nationkey in [1, 2, 3]) | (c_acctbal < -500) and not c_mktsegment == 'MACHINERY'").select("c_custkey", "c_nationkey")
+
+
+@_query
+def view_filter_chain(s, d):
+    return where(where(_meta(s, d), "c_acctbal > 1000"), "c_nationkey <= 10").select("c_custkey", "c_nationkey")
+
+
+@_query
+def volume_filter(s, d):
+    return where(_obs(s, d), "o_totalprice >= 150000 and o_orderstatus != 'P'").select("o_orderkey", "o_custkey")
+
+
+@_query
+def subject_filter_semi(s, d):
+    keys = where(_meta(s, d), "c_mktsegment == 'AUTOMOBILE'").select(F.col("c_custkey").alias("o_custkey"))
+    return frames.keep_keys(_obs(s, d), keys, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+def _placed(s, d):
+    return frames.with_position(_obs(s, d).select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+@_query
+def iloc_slice(s, d):
+    return _placed(s, d).where(F.col("pos").isin(positions(slice(10, 50), 1000)))
+
+
+@_query
+def iloc_step(s, d):
+    return _placed(s, d).where(F.col("pos").isin(positions(slice(0, 200, 7), 1000)))
+
+
+@_query
+def iloc_negative(s, d):
+    return frames.tail(_obs(s, d), 5, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@_query
+def iloc_mask(s, d):
+    return _placed(s, d).where(F.col("pos") % 100 == 3)
+
+
+@_query
+def loc_list(s, d):
+    return _obs(s, d).where(F.col("o_orderkey").isin([1, 2, 3, 77, 130])).select("o_orderkey", "o_totalprice")
+
+
+@_query
+def sel_subject(s, d):
+    return _obs(s, d).where(F.col("o_custkey").isin([7, 22])).select("o_orderkey", "o_custkey")
+
+
+@_query
+def head_n(s, d):
+    return frames.head(_meta(s, d), 10, "c_custkey").select("c_custkey", "c_name")
+
+
+@_query
+def tail_n(s, d):
+    return frames.tail(_meta(s, d), 10, "c_custkey").select("c_custkey", "c_name")
+
+
+@_query
+def lazy_filter_head_rootpos(s, d):
+    """The first 100 of the root that pass, not the first 100 that pass."""
+    return frames.with_position(_obs(s, d).select("o_orderkey", "o_totalprice"), "o_orderkey").where("pos < 100 and o_totalprice > 150000").select("o_orderkey", "pos")
+
+
+@_query
+def sample_seeded(s, d):
+    chosen = frames.sample_positions(150, 20, 42)
+    return frames.with_position(_meta(s, d).select("c_custkey"), "c_custkey").where(F.col("pos").isin(chosen))
+
+
+@_query
+def subject_volume_join(s, d):
+    return _obs(s, d).join(_meta(s, d), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@_query
+def obs_ids_json(s, d):
+    return frames.obs_ids_json(_obs(s, d), "o_custkey", "o_orderkey")
+
+
+@_query
+def merge_obs_ids_default(s, d):
+    obs = _obs(s, d).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return frames.with_obs_ids(_meta(s, d).select("c_custkey"), obs, "c_custkey", "o_orderkey")
+
+
+@_query
+def orphan_observations(s, d):
+    keys = _meta(s, d).where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return frames.drop_keys(_obs(s, d), keys, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@_query
+def missing_subjects(s, d):
+    keys = _obs(s, d).where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return frames.drop_keys(_meta(s, d).select("c_custkey"), keys, "c_custkey")
+
+
+@_query
+def duplicate_obs_ids(s, d):
+    return frames.duplicates(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@_query
+def cross_collection_duplicates(s, d):
+    """obs ids that two collections share."""
+    a = _obs(s, d).where("o_orderstatus = 'F'").select("o_orderkey")
+    b = _t(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return frames.duplicates(a.unionByName(b), "o_orderkey")
+
+
+@_query
+def validate_counts(s, d):
+    parts = [_t(s, d, n).agg(F.lit(n).alias("tbl"), F.count("*").alias("n")) for n in ("customer", "orders", "embeddings")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query
+def study_faults(s, d):
+    meta = _meta(s, d).where("c_custkey % 50 <> 0").select(F.col("c_custkey").cast("string").alias("sid"))
+    sets = {"late": _obs(s, d).where("o_totalprice > 100000"), "open": _obs(s, d).where("o_totalprice > 250000")}
+    return frames.study_faults(meta, {n: o.select(F.col("o_custkey").cast("string").alias("sid"), F.col("o_orderkey").cast("string").alias("oid")) for n, o in sets.items()}, "sid", "oid")
+
+
+@_query
+def groupby_subject(s, d):
+    return frames.volumes_of_subjects(_obs(s, d), "o_custkey", "o_orderkey")
+
+
+@_query
+def subjects_first_seen(s, d):
+    return frames.subjects_first_seen(_placed(s, d), "o_custkey", "pos")
+
+
+@_query
+def describe_labels(s, d):
+    meta = _meta(s, d)
+    return frames.value_counts(meta, *frames.label_columns(meta, ("c_custkey", "c_name")))
+
+
+def _sides(s, d):
+    a = frames.with_position(_meta(s, d).where("c_acctbal > 0").select(F.col("c_custkey").alias("key")), "key")
+    b = frames.with_position(_meta(s, d).where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key")), "key")
+    return a, b
+
+
+@_query
+def index_intersection(s, d):
+    return frames.index_and(*_sides(s, d))
+
+
+@_query
+def index_union(s, d):
+    return frames.index_or(*_sides(s, d))
+
+
+@_query
+def index_difference(s, d):
+    return frames.index_minus(*_sides(s, d))
+
+
+@_query
+def index_symdiff(s, d):
+    return frames.index_xor(*_sides(s, d))
+
+
+@_query
+def index_aligned(s, d):
+    return frames.misaligned(*_sides(s, d))
+
+
+@_query
+def index_subset(s, d):
+    a, b = _sides(s, d)
+    return frames.index_minus(b, a).agg((F.count("*") == 0).alias("is_subset"))
+
+
+@_query
+def align_three(s, d):
+    a, b = _sides(s, d)
+    c = _meta(s, d).where("c_nationkey < 15").select(F.col("c_custkey").alias("key"))
+    return frames.common_keys([a, b, c], "key")
+
+
+@_query
+def acquisition_ids(s, d):
+    return frames.acquisitions(_obs(s, d).select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], "CT").select("o_orderkey", "obs_id")
+
+
+NAMES = ["sub-01_T1w", "scan_t1ce_x", "lung_001", "sub-02_dwi", "a_flair", "plain", "x_ct_y", "sub_bold", "FUNC_run", "PDT2", "T2_axial", "hrct"]
+
+
+@_query
+def series_type(s, d):
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    return _t(s, d, "part").select("p_partkey", name.alias("name"), naming.series_type(name).alias("series"))
+
+
+@_query
+def file_stems(s, d):
+    path = F.concat(F.lit("/data/"), F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".nii.gz").otherwise(".nii"))
+    return _t(s, d, "part").select("p_partkey", naming.file_stem(path).alias("stem"))
+
+
+@_query
+def spatial_units(s, d):
+    return _t(s, d, "part").select("p_partkey", naming.spatial_units(F.col("p_size")).alias("units"))
+
+
+@_query
+def affine_parse(s, d):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("[["), size, F.lit(",0,0,1.5],[0,"), size, F.lit(",0,2],[0,0,1,"), size, F.lit("],[0,0,0,1]]"))
+    a = naming.affine_from_json(text)
+    return _t(s, d, "part").select("p_partkey", (a[0][0] + a[1][1] + a[2][2]).alias("trace3"), a[2][3].alias("z_offset"))
+
+
+@_query
+def tuple_parse(s, d):
+    text = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(", 2.5, 1.0)"))
+    v = naming.tuple_values(text)
+    return _t(s, d, "part").select("p_partkey", v[0].alias("a"), v[1].alias("b"), F.size(v).alias("n"))
+
+
+@_query
+def upsert_meta(s, d):
+    meta = _meta(s, d).select("c_custkey", "c_name", "c_acctbal")
+    delta = meta.where("c_custkey <= 5").select("c_custkey", (F.col("c_acctbal") + 1000).alias("c_acctbal"))
+    new = s.range(1).select(F.lit(900000001).cast("long").alias("c_custkey"), F.lit(12.5).alias("c_acctbal"))
+    return frames.upsert(meta, delta.unionByName(new), "c_custkey")
+
+
+@_query
+def delete_meta(s, d):
+    meta = _meta(s, d)
+    return frames.delete(meta, predicate("c_acctbal < 0 or c_nationkey == 3", meta.columns)).select("c_custkey")
+
+
+@_query
+def add_column_fill(s, d):
+    return frames.add_column(_meta(s, d).select("c_custkey"), "site", "string", "A1")
+
+
+@_query
+def drop_column(s, d):
+    return frames.drop_column(_meta(s, d), "c_acctbal", ("c_custkey",))
+
+
+@_query
+def append_obs(s, d):
+    o = _obs(s, d).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return frames.append(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1").drop("o_orderstatus"))
+
+
+# -- voxels -----------------------------------------------------------------------------------
+
+
+def _plane(s, d, kind, at):
+    c = voxels.plane(_vol(s, d), "vec_id", "embedding", SHAPE, kind, at)
+    return c.withColumn("value", _r("value"))
+
+
+@_query
+def axial_slice(s, d):
+    return _plane(s, d, "axial", 2)
+
+
+@_query
+def sagittal_slice(s, d):
+    return _plane(s, d, "sagittal", 1)
+
+
+@_query
+def coronal_slice(s, d):
+    return _plane(s, d, "coronal", 3)
+
+
+@_query
+def roi_box(s, d):
+    return voxels.cell_box(_vol(s, d), "vec_id", "embedding", SHAPE, ((1, 3), (0, 2), (2, 4))).withColumn("value", _r("value"))
+
+
+def tile_table(df: DataFrame, key: str, array: str, shape=SHAPE, extents=PATCH) -> DataFrame:
+    """The tile table of an array column."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = [t for k, a in zip(pdf[key], pdf[array], strict=True) for t in voxels.tiles_of(str(k), np.asarray(a, np.float32).reshape(shape), extents)]
+            yield pd.DataFrame(rows, columns=voxels.TILE_COLUMNS)
+
+    return df.select(key, array).mapInPandas(run, voxels.TILE_DDL)
+
+
+@_query
+def tile_roundtrip(s, d):
+    """Cut to 2 x 2 x 2 tiles and put together again."""
+
+    def whole(pdf):
+        a = voxels.assemble(pdf.to_dict("records"), tuple((0, n) for n in SHAPE), pdf["dtype"].iloc[0])
+        return pd.DataFrame({"vec_id": [int(pdf["obs_id"].iloc[0])], "v": [a.astype(float).ravel().tolist()]})
+
+    v = tile_table(_vol(s, d), "vec_id", "embedding").groupBy("obs_id").applyInPandas(whole, "vec_id long, v array<double>")
+    return v.select("vec_id", F.posexplode("v").alias("p", "value")).select("vec_id", F.col("p").cast("long").alias("p"), _r("value").alias("value"))
+
+
+@_query
+def tile_box(s, d):
+    """A box out of the tile table: only tiles that meet it are read."""
+    cut = voxels.cropped(tile_table(_vol(s, d), "vec_id", "embedding"), ((1, 3), (0, 2), (2, 4)), PATCH)
+    return voxels.values(cut).groupBy("obs_id").agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total")).withColumn("obs_id", F.col("obs_id").cast("long"))
+
+
+@_query
+def tile_statistics(s, d):
+    st = voxels.statistics(tile_table(_vol(s, d), "vec_id", "embedding"), (25, 90))
+    return st.select(F.col("obs_id").cast("long").alias("vec_id"), "n", *(_r(c).alias(c) for c in ("mean", "std", "min", "max", "median", "p25", "p90")))
+
+
+@_query
+def tile_histogram(s, d):
+    h = voxels.histogram(tile_table(_vol(s, d), "vec_id", "embedding"), 8, -0.4, 0.4)
+    return h.select(F.col("obs_id").cast("long").alias("vec_id"), F.col("bin").cast("long").alias("bin"), "n")
+
+
+@_query
+def volume_statistics(s, d):
+    st = voxels.array_statistics(_vol(s, d), "vec_id", "embedding")
+    return st.select("vec_id", *(_r(c).alias(c) for c in ("mean", "std", "min", "max", "median")))
+
+
+@_query
+def volume_percentiles(s, d):
+    st = voxels.array_statistics(_vol(s, d), "vec_id", "embedding", (5, 25, 75, 95))
+    return st.select("vec_id", *(_r(c).alias(c) for c in ("p5", "p25", "p75", "p95")))
+
+
+@_query
+def histogram(s, d):
+    return voxels.array_histogram(_vol(s, d), "vec_id", "embedding", 10, -1.0, 1.0)
+
+
+@_query
+def histogram_range(s, d):
+    return voxels.array_histogram(_vol(s, d), "vec_id", "embedding", 4, -0.1, 0.1)
+
+
+@_query
+def uniform_shape(s, d):
+    return _vol(s, d).groupBy(F.size("embedding").cast("long").alias("n_voxels")).agg(F.count("*").alias("n"))
+
+
+@_query
+def foreground_coords(s, d):
+    return voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE).where("value > 0.2").select("vec_id", "x", "y", "z")
+
+
+@_query
+def reorient_las(s, d):
+    """The first axis flipped."""
+    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
+    return c.select("vec_id", (F.lit(SHAPE[0] - 1) - F.col("x")).alias("x"), "y", "z", _r("value").alias("value"))
+
+
+@_query
+def reorient_lps(s, d):
+    """The first two axes flipped."""
+    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
+    return c.select("vec_id", (F.lit(SHAPE[0] - 1) - F.col("x")).alias("x"), (F.lit(SHAPE[1] - 1) - F.col("y")).alias("y"), "z", _r("value").alias("value"))
+
+
+# -- maps -------------------------------------------------------------------------------------
+
+
+def _mapped(s, d, fn, ddl: str) -> DataFrame:
+    """A Python function on whole volumes with their row, in Arrow batches: (array, row) to a tuple of the schema's columns."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = [fn(np.asarray(a, float).reshape(SHAPE), {"vec_id": int(k), "label": int(y)}) for k, a, y in zip(pdf["vec_id"], pdf["embedding"], pdf["label"], strict=True)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return _vol(s, d).select("vec_id", "embedding", "label").mapInPandas(run, ddl)
+
+
+@_query
+def map_normalize(s, d):
+    """(v - mean) / deviation of each volume, with SQL functions alone."""
+    v = _vol(s, d).withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    n = F.size("e")
+    mean = F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / n
+    v = v.withColumn("mean", mean)
+    v = v.withColumn("std", F.sqrt(F.aggregate(F.transform("e", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), lambda a, x: a + x) / n))
+    z = F.transform("e", lambda x: (x - F.col("mean")) / F.col("std"))
+    return v.select("vec_id", F.posexplode(z).alias("p", "value")).select("vec_id", F.col("p").cast("long").alias("p"), _r("value", 5).alias("value"))
+
+
+@_query
+def map_obs_updates(s, d):
+    return _mapped(s, d, lambda a, row: (row["vec_id"], round(float(a.max()), 6), bool(a.mean() > 0)), "vec_id long, peak double, positive boolean")
+
+
+@_query
+def map_chain(s, d):
+    from tomolake.operators.mapped import composed
+
+    chain = composed([lambda a, row: (np.clip(a, 0, None), {"kept": int((a > 0).sum())}), lambda a, row: (a.sum() * row["kept"], {})])
+
+    def fn(a, row):
+        value, updates = chain(a, row)
+        return row["vec_id"], updates["kept"], round(float(value), 4)
+
+    return _mapped(s, d, fn, "vec_id long, kept long, value double")
+
+
+@_query
+def map_batches(s, d):
+    """Each volume's total within its batch of eight (canonical order)."""
+    placed = frames.with_position(_vol(s, d).select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")), "vec_id")
+    b = placed.withColumn("batch", F.floor(F.col("pos") / 8))
+    return b.withColumn("in_batch", F.sum("total").over(Window.partitionBy("batch"))).select("vec_id", "batch", _r("in_batch", 4).alias("in_batch"))
+
+
+# -- samples ----------------------------------------------------------------------------------
+
+STARTS = [samples.patch_start(SHAPE, PATCH, i) for i in range(100)]
+
+
+@_query
+def patch_samples(s, d):
+    """Two patches of each of the first fifty volumes: start and sum."""
+    first = frames.with_position(_vol(s, d).select("vec_id", "embedding"), "vec_id").where("pos < 50")
+
+    def run(pdfs):
+        for pdf in pdfs:
+            out = []
+            for k, p, e in zip(pdf["vec_id"], pdf["pos"], pdf["embedding"], strict=True):
+                a = np.asarray(e, float).reshape(SHAPE)
+                for j in range(2):
+                    x, y, z = samples.patch_start(SHAPE, PATCH, int(p) * 2 + j)
+                    out.append((int(p) * 2 + j, int(k), x, y, z, round(float(a[x : x + 2, y : y + 2, z : z + 2].sum()), 5)))
+            yield pd.DataFrame(out, columns=["idx", "vec_id", "x", "y", "z", "total"])
+
+    return first.mapInPandas(run, "idx long, vec_id long, x long, y long, z long, total double")
+
+
+@_query
+def foreground_patch(s, d):
+    """A patch centred on each volume's strongest voxel, moved inside."""
+    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
+    best = c.groupBy("vec_id").agg(F.max_by(F.struct("x", "y", "z"), F.struct("value", -F.col("x") * 16 - F.col("y") * 4 - F.col("z"))).alias("b"))
+    clip = lambda a: F.least(F.greatest(F.col(f"b.{a}") - 1, F.lit(0)), F.lit(2)).cast("long").alias(a)
+    return best.select("vec_id", clip("x"), clip("y"), clip("z"))
+
+
+@_query
+def slice2d_samples(s, d):
+    first = frames.with_position(_vol(s, d).select("vec_id"), "vec_id")
+    return first.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(SHAPE[2] - 1))).alias("z"), "pos").select((F.col("pos") * SHAPE[2] + F.col("z")).alias("idx"), "vec_id", F.col("z").cast("long").alias("z"))
+
+
+@_query
+def multimodal_stack(s, d):
+    """Two aligned collections as channels of one sample."""
+    a = _vol(s, d).select("vec_id", F.col("embedding").alias("one"))
+    b = _vol(s, d).select("vec_id", F.transform("embedding", lambda x: -x).alias("two"))
+    z = a.join(b, "vec_id").select("vec_id", F.posexplode(F.arrays_zip("one", "two")).alias("p", "c"))
+    return z.where("p < 4").select("vec_id", F.col("p").cast("long").alias("p"), _r(F.col("c.one").cast("double")).alias("c0"), _r(F.col("c.two").cast("double")).alias("c1"))
+
+
+@_query
+def segmentation_pairs(s, d):
+    image = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
+    mask = image.where("value > 0.1").select("vec_id", "x", "y", "z")
+    return image.join(mask, ["vec_id", "x", "y", "z"]).groupBy("vec_id").agg(F.count("*").alias("n"), _r(F.sum("value"), 5).alias("total"))
+
+
+@_query
+def label_join(s, d):
+    return _t(s, d, "documents").select("doc_id", "source").join(_t(s, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@_query
+def train_batches(s, d):
+    return samples.batches(_vol(s, d), "vec_id", 16, drop_last=True)
+
+
+@_query
+def rank_shards(s, d):
+    return samples.shards(_vol(s, d), "vec_id", 3)
+
+
+# -- events -----------------------------------------------------------------------------------
+
+
+@_query
+def event_windows(s, d):
+    e = _t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = windowed(e, "ts", ["event_type"], "1 hour", "10 minutes", "value")
+    return w.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", _r("total", 4).alias("total"))
+
+
+@_query
+def event_users(s, d):
+    return first_of_key(_t(s, d, "events"), "user_id", "ts", "1 hour").select("user_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean intensity and axial mid-slice of every volume whose subject passes a predicate."""
-    subjects = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0")
-    volumes = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    keys = subjects.select(F.col("c_custkey").alias("vec_id"))
-    v = volumes.join(keys, "vec_id", "left_semi")
-    return v.select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    keys = where(_meta(spark, sf_dir), "c_acctbal > 0").select(F.col("c_custkey").alias("vec_id"), "c_mktsegment")
+    v = frames.keep_keys(_vol(spark, sf_dir), keys, "vec_id")
+    stats = voxels.array_statistics(v, "vec_id", "embedding").select("vec_id", _r("mean").alias("mean"))
+    cells = voxels.plane(v, "vec_id", "embedding", SHAPE, "axial", SHAPE[2] // 2)
+    mid = cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", "value"))).alias("p"), F.round(F.sum("value"), 4).alias("mid_total"))
+    mid = mid.select("vec_id", F.transform("p", lambda c: c.value).alias("mid_slice"), "mid_total")
+    return stats.join(mid, "vec_id").join(keys, "vec_id").select("vec_id", "c_mktsegment", "mean", "mid_slice", "mid_total")
+
+
+_Q["flagship"] = lambda s, d: flagship(s, d).drop("mid_slice")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
