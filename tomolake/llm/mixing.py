@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tomolake.llm import scratch
+
 Path = tuple[str, ...]
 
 
@@ -106,13 +108,14 @@ def mix(docs: DataFrame, plan: Plan | Callable[[int], Plan], tokens: Callable[[C
     clash = [c for c in ("domain", "epoch", "n_tokens", "leaf_budget") if c in docs.columns]
     docs = docs.drop(*clash)
     rows = (
-        docs.withColumn("n_tokens", tokens(F.col("text").cast("string")))
-        .withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+        docs.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
         .withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
         .withColumn("domain", domain_column(F.col("_source")))
     )
     leaf = ["domain", "_lang", "_source"]
-    totals = rows.where("n_tokens > 0").groupBy(*leaf).agg(F.sum("n_tokens").alias("held"))
+    # texts are counted once for the plan; what follows reads this narrow table
+    narrow = scratch.written(rows.select(*leaf, F.col("doc_id").cast("string").alias("doc_id"), tokens(F.col("text").cast("string")).alias("n_tokens")), "tokens").where("n_tokens > 0")
+    totals = narrow.groupBy(*leaf).agg(F.sum("n_tokens").alias("held"))
     limit = plan.most_leaves if isinstance(plan, Plan) else Plan(0).most_leaves
     found = totals.limit(limit + 1).collect()
     if len(found) > limit:
@@ -125,20 +128,25 @@ def mix(docs: DataFrame, plan: Plan | Callable[[int], Plan], tokens: Callable[[C
         [(*k, int(shares[k]), min(plan.epochs, -(-int(shares[k]) // held[k]))) for k in sorted(held) if int(shares[k]) > 0],
         T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("leaf_budget", T.LongType()), T.StructField("_epochs", T.LongType())]),
     )
-    every = rows.where("n_tokens > 0").join(F.broadcast(leaves), leaf).withColumn("epoch", F.explode(F.expr("sequence(0, cast(_epochs as int) - 1)")))
-    keyed = every.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("_bucket", (F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * plan.buckets / (1 << 24)).cast("int"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """Rows of the leaves that have a budget, once an epoch, with their place in the epoch's order."""
+        every = df.join(F.broadcast(leaves), leaf).withColumn("epoch", F.explode(F.expr("sequence(0, cast(_epochs as int) - 1)")))
+        every = every.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        return every.withColumn("_bucket", (F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * plan.buckets / (1 << 24)).cast("int"))
+
     # one row a leaf: the bucket in which its budget runs out, and the tokens before that bucket
     order = Window.partitionBy(*leaf).orderBy("epoch", "_bucket")
-    sums = keyed.groupBy(*leaf, "leaf_budget", "epoch", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
+    sums = keyed(narrow).groupBy(*leaf, "leaf_budget", "epoch", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     runs = sums.withColumn("_end", F.sum("_sum").over(order)).withColumn("_start", F.col("_end") - F.col("_sum"))
     cuts = runs.where("_start < leaf_budget and _end >= leaf_budget").select(*leaf, F.col("epoch").alias("_cut_epoch"), F.col("_bucket").alias("_cut_bucket"), "_start").collect()
     shape = T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("_cut_epoch", T.IntegerType()), T.StructField("_cut_bucket", T.IntegerType()), T.StructField("_start", T.LongType())])
-    placed = keyed.join(F.broadcast(spark.createDataFrame(cuts, shape)), leaf, "left")
+    placed = keyed(rows).join(F.broadcast(spark.createDataFrame(cuts, shape)), leaf, "left")
     cut_epoch = F.coalesce("_cut_epoch", F.lit(1 << 30))
-    whole = placed.where((F.col("epoch") < cut_epoch) | ((F.col("epoch") == cut_epoch) & (F.col("_bucket") < F.col("_cut_bucket"))))
-    part = placed.where((F.col("epoch") == cut_epoch) & (F.col("_bucket") == F.col("_cut_bucket")))
+    count = tokens(F.col("text").cast("string"))
+    whole = placed.where((F.col("epoch") < cut_epoch) | ((F.col("epoch") == cut_epoch) & (F.col("_bucket") < F.col("_cut_bucket")))).withColumn("n_tokens", count)
+    part = placed.where((F.col("epoch") == cut_epoch) & (F.col("_bucket") == F.col("_cut_bucket"))).withColumn("n_tokens", count)
     inside = Window.partitionBy(*leaf).orderBy("_key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_before", F.col("_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_before < leaf_budget")
     out = [*docs.columns, "domain", "epoch", "n_tokens", "leaf_budget"]
-    return whole.select(*out).unionByName(part.select(*out))
+    return whole.select(*out).where("n_tokens > 0").unionByName(part.select(*out).where("n_tokens > 0"))
