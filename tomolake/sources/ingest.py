@@ -187,13 +187,17 @@ def _read_rows(fmt: str, target: str | None):
                 extents = cfg.extents(voxels.check_shape(a.shape))
                 kept = {k: str(v) for k, v in meta.items() if k in ("axcodes", "affine_json", "orientation_source", "qform_code", "sform_code", "xyzt_units")}
                 head = {"obs_id": obs_id, "shape": list(a.shape), "dtype": a.dtype.str, "tile": list(extents), "meta": {"tile_orientation": cfg.orientation.value} | kept, "obs": json.dumps({SUBJECT: subject, OBS: obs_id} | meta)}
-                yield pd.DataFrame([head]).reindex(columns=_STAGED)
+                yield _filled(pd.DataFrame([head]))
                 tiles = pd.DataFrame(list(voxels.tiles_of(obs_id, a, extents)), columns=voxels.TILE_COLUMNS)
-                yield tiles.reindex(columns=_STAGED)
+                yield _filled(tiles)
 
     return run
 
 
+def _filled(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.assign(**{c: None for c in _STAGED if c not in pdf.columns})[_STAGED]
+
+
 _STAGED_DDL = voxels.TILE_DDL + ", shape array<int>, tile array<int>, meta map<string,string>, obs string"
 _STAGED = [c.split()[0] for c in _STAGED_DDL.replace("map<string,string>", "map").split(", ")]
 

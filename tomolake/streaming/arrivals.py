@@ -18,7 +18,8 @@ def append_arrivals(spark: SparkSession, directory: str, uri: str, name: str, ch
     The file source's log gives each file to one batch; a batch that runs again after
     a failure skips the paths its collection holds already.
     """
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory).select("path")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory).select("path")
 
     def take(batch, _):
         paths = sorted(r.path.removeprefix("file://").removeprefix("file:") for r in batch.select("path").collect())
