@@ -72,6 +72,9 @@ class Network:
             z, r = g[:h], g[h:]
             n = np.tanh(a[2 * h :] + r * b[2 * h :])
             new = n + z * (s - n)
+            text = x[t] != 0
+            if not text.all():
+                new *= text  # byte 0 pads: a text begins with an empty state wherever it lies
             yield (t, new, (s, z, r, n, b[2 * h :])) if keep else (t, new)
             s = new
 
@@ -107,7 +110,7 @@ class Network:
             u, gx, gu = p[f"u{d}"], g[f"x{d}"], g[f"u{d}"]
             ds = np.zeros((h, x.shape[1]), np.float32)
             for t, _, (s, z, r, n, bn) in reversed(kept[d]):
-                ds = ds + p[f"o{d}"].T @ back[t]
+                ds = (ds + p[f"o{d}"].T @ back[t]) * (x[t] != 0)
                 dn = ds * (1 - z) * (1 - n * n)
                 dz = ds * (s - n) * z * (1 - z)
                 dr = dn * bn * r * (1 - r)
