@@ -15,7 +15,8 @@ its size is checked.
 
 Defined cases: null ``lang`` or ``source`` is a value of its own (""); null or empty
 texts hold no tokens and are never taken; repeated rows are rows of their own;
-weights of children that are not named are 1; an empty table gives an empty table.
+weights of children that are not named are 1; columns with the names of added ones
+give way to them; an empty table gives an empty table.
 """
 
 from __future__ import annotations

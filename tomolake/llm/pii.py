@@ -10,7 +10,8 @@ Distinctness is checked all the same, over all entities of the corpus; a kind wi
 a collision takes the next round of its key.
 
 Defined cases: null texts stay null; empty texts and texts without entities come
-back unchanged; repeated rows are rewritten alike; other columns are kept.
+back unchanged; repeated rows are rewritten alike; other columns are kept, but for
+one with the name of the count, which gives way to it.
 """
 
 from __future__ import annotations
@@ -312,6 +313,7 @@ def settle(docs: DataFrame, key: bytes, most_rounds: int = 8) -> dict[str, int]:
 def replace(docs: DataFrame, key: bytes, count: str | None = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text``, and with the number of entities as column ``count`` unless that is None."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(count) if count else docs
     state = tuple(sorted(settle(docs, key).items()))
 
     @lean
