@@ -96,7 +96,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tomolake.llm.jaccard import jaccard_join
 
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
