@@ -89,7 +89,7 @@ class WriteConfig:
     tile: TileConfig = field(default_factory=TileConfig)
     compression: CompressionConfig = field(default_factory=CompressionConfig)
     orientation: OrientationConfig = field(default_factory=OrientationConfig)
-    tiles_per_group: int = 4
+    tiles_per_group: int | None = None
 
 
 @dataclass(frozen=True)

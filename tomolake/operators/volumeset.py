@@ -6,14 +6,16 @@ against the root, so views of views stay flat.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomolake.config import get_config
+from tomolake.config import SliceOrientation, get_config
 from tomolake.errors import AlignmentError, ShapeError, StorageError, ViewError
 from tomolake.functions.naming import adjacent_uri, generate_obs_id
 from tomolake.operators import frames, voxels
@@ -32,8 +34,9 @@ MOST_LITERALS = 1000
 def tile_options() -> dict[str, str]:
     """Row limits that give Parquet a row group every few tiles and a page a tile, so that tile predicates prune."""
     w = get_config().write
+    per_group = w.tiles_per_group or (1 if w.tile.orientation is SliceOrientation.ISOTROPIC else 4)  # cubes are large
     return w.compression.options() | {
-        "parquet.block.row.count.limit": str(w.tiles_per_group), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1",
+        "parquet.block.row.count.limit": str(per_group), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1",
     }
 
 
@@ -68,9 +71,45 @@ class VolumeSet:
         self.name = name or self.manifest["name"]
         self._obs = obs
         self._index: KeyIndex | None = None
+        self._local: list | None = None
+        self._headers: dict[str, dict] = {}
 
     # -- tables
 
+    def _local_path(self, rel: str) -> str | None:
+        """The path of a snapshot when this driver can open it."""
+        u = urlparse(f"{self.uri}/{rel}")
+        return u.path if u.scheme in ("", "file") and os.path.isdir(u.path) else None
+
+    def local_tiles(self) -> list | None:
+        """Arrow datasets of the tile snapshots, kept open (with their footers); None when the files are not local."""
+        if self._local is None:
+            import pyarrow.dataset as ds
+
+            paths = [self._local_path(t) for t in self.manifest["tiles"]]
+            if any(p is None for p in paths):
+                return None
+            self._local = [ds.dataset(p, format="parquet") for p in paths]
+        return self._local
+
+    def header_of(self, obs_id: str) -> dict:
+        """A volume's header row; the last few thousand are remembered."""
+        if obs_id not in self._headers:
+            path = self._local_path(self.manifest["volumes"])
+            if path is not None:
+                import pyarrow.dataset as ds
+
+                rows = ds.dataset(path, format="parquet").to_table(filter=ds.field(OBS) == obs_id).to_pylist()
+                rows = [r | {"meta": dict(r["meta"] or [])} for r in rows]
+            else:
+                rows = [r.asDict(recursive=True) for r in self.headers.where(F.col(OBS) == obs_id).limit(1).collect()]
+            if not rows:
+                raise KeyError(obs_id)
+            if len(self._headers) > 4096:
+                self._headers.clear()
+            self._headers[obs_id] = rows[0]
+        return self._headers[obs_id]
+
     @property
     def root_obs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.uri}/{self.manifest['obs']}")
@@ -265,7 +304,8 @@ class VolumeSet:
         tile_dirs = [*self.manifest["tiles"], write_tiles(tiles, self.uri)]
         keep = {k: v for k, v in self.manifest.items() if k not in ("name", "shape", "n_volumes", "obs", "volumes", "tiles")}
         self.manifest = commit(self.spark, self.uri, self.manifest["name"], frames.append(self.root_obs, obs), frames.append(self.headers, headers), tile_dirs, keep)
-        self._index = None
+        self._index, self._local = None, None
+        self._headers.clear()
         return self
 
     def append(self, niftis: Sequence[tuple[str, str]] | None = None, dicoms: Sequence[tuple[str, str]] | None = None, reorient: bool | None = None) -> VolumeSet:
