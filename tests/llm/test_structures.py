@@ -168,6 +168,18 @@ def test_clean_texts_stay():
         assert pii.rewrite(t, KEYED) == (t, 0), t
 
 
+def test_numbers_side_by_side():
+    kinds = lambda t: [(e.kind, t[e.start : e.end]) for e in pii.entities(t)]
+    assert kinds("7536784127813050 4845168114407329, +1 (826) 555-4081 190.137.223.204 42") == [
+        ("card", "7536784127813050"), ("card", "4845168114407329"), ("phone", "+1 (826) 555-4081"), ("ipv4", "190.137.223.204"),
+    ]
+    assert kinds("+1 (017) 555-7713 23904 and 4111-1111-1111-1111###") == [("phone", "+1 (017) 555-7713"), ("card", "4111-1111-1111-1111")]
+    assert kinds("+49 170 1234567, (030) 123-4567; 030/12345678 06 12 34 56 78 212-555-0100") == [
+        ("phone", "+49 170 1234567"), ("phone", "(030) 123-4567"), ("phone", "030/12345678"), ("phone", "06 12 34 56 78"), ("phone", "212-555-0100"),
+    ]
+    assert kinds("300.1.2.3 12345678901234567890 1.2.3.4.5 +12 555") == []
+
+
 def test_coreference():
     a = pii.rewrite("x@y.org X@Y.ORG x@y.org +10175557713 +1 (017) 555-7713 DE89370400440532013000 DE89 3704 0044 0532 0130 00", KEYED)[0].split(" ")
     assert a[0] == a[2] == a[1].lower() and a[3] == "+" + re.sub(r"\D", "", "".join(a[4:7])) and a[7] == "".join(a[8:])

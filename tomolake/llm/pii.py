@@ -46,7 +46,16 @@ _CLASS = {c: (k, i) for k, x in enumerate(CLASSES) for i, c in enumerate(x)}
 _GIVEN = {name: (key, i) for key, names in GIVEN.items() for i, name in enumerate(names)}
 
 EMAIL = re.compile(r"(?<![\w.+\-])[\w.+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", re.A)
-NUMBER = re.compile(r"(?<![\w.])(?:\+ ?)?\(?\d[\d ()./\-]{5,}\d(?![\w@])")
+#: Numbers by their notation; each kind is a named group, tried in this order where a number begins.
+NUMBER = re.compile(
+    r"(?<![\w.\-])(?=[+(\d])(?:"
+    r"(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
+    r"|(?P<card>\d{13,19}(?!\w)|\d{4}(?P<s1>[ \-])\d{4}(?P=s1)\d{4}(?P=s1)\d{1,7}(?!\w)|\d{4}(?P<s2>[ \-])\d{6}(?P=s2)\d{5}(?!\w))"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w\-]))"
+    r"|(?P<phone>\+ ?1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)|\+ ?[2-9]\d{0,2}(?:[ ./\-]?\(?\d{1,5}\)?){2,6}(?!\w)"
+    r"|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}(?!\w)|\d{3}(?P<s3>[.\-])\d{3}(?P=s3)\d{4}(?!\w)|0\d(?: \d{2}){4}(?!\w)|0\d{2,4}[ /\-]\d{5,8}(?!\w))"
+    r")"
+)
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])")
 KEYED = re.compile(r"(?i)(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)\s*[=:]\s*[\"']?(?=[A-Za-z_\-+/]*\d)([A-Za-z0-9_\-+/]{8,})")
 PREFIXED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)([0-9A-Za-z_\-]{12,})")
@@ -55,7 +64,6 @@ MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![
 IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’\-]+"
 NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )?(?P<first>{_CAP})(?P<last>(?: {_CAP})?)")
-PHONES = [re.compile(x) for x in (r"\+ ?\d[\d ()./\-]*", r"\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}", r"\d{3}([.\-])\d{3}\1\d{4}", r"0\d(?: \d{2}){4}", r"0\d{2,4}[ /\-]\d{5,8}")]
 
 
 # -- permutations -----------------------------------------------------------------------------
@@ -138,17 +146,17 @@ class Entity:
     canonical: str
 
 
-def _number_kind(s: str) -> str | None:
+def _number(m: re.Match) -> Entity | None:
+    """The entity of a number's notation; a phone number ends at its 15th digit's group."""
+    kind, s = m.lastgroup if m.lastgroup in ("ipv4", "card", "ssn", "phone") else next(k for k in ("card", "phone") if m[k]), m[0]
+    if kind == "ipv4":
+        return Entity(*m.span(), kind, s) if all(int(x) < 256 for x in s.split(".")) else None
+    while kind == "phone" and len(re.sub(r"\D", "", s)) > 15 and re.search(r"[ ./\-]", s):
+        s = re.sub(r"[ ./\-][^ ./\-]*$", "", s)
     digits = re.sub(r"\D", "", s)
-    if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
-        return "ipv4" if all(int(x) < 256 for x in s.split(".")) else None
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s):
-        return "ssn"
-    if re.fullmatch(r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5}", s):
-        return "card"
-    if 7 <= len(digits) <= 15 and any(p.fullmatch(s) for p in PHONES):
-        return "phone"
-    return None
+    if kind == "phone" and not 7 <= len(digits) <= 15:
+        return None
+    return Entity(m.start(), m.start() + len(s), kind, ("+" if s[0] == "+" else "") + digits)
 
 
 def entities(text: str) -> list[Entity]:
@@ -168,10 +176,7 @@ def entities(text: str) -> list[Entity]:
         if ":" in text or "-" in text:
             found += [Entity(*m.span(), "mac", re.sub(r"[:\-]", "", m[0]).lower()) for m in MAC.finditer(text)]
             found += [Entity(*m.span(), "ipv6", m[0].lower()) for m in IPV6.finditer(text)]
-        for m in NUMBER.finditer(text):
-            if kind := _number_kind(m[0]):
-                plus = "+" if kind == "phone" and m[0].startswith("+") else ""
-                found.append(Entity(*m.span(), kind, m[0] if kind == "ipv4" else plus + re.sub(r"\D", "", m[0])))
+        found += [e for m in NUMBER.finditer(text) if (e := _number(m))]
     for m in NAMES.finditer(text):
         if m["title"] or (m["first"] in _GIVEN and m["last"]):
             last = m["last"]
