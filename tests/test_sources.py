@@ -190,6 +190,21 @@ def test_collection_of_files(spark, files, tmp_path, make):
     assert dv.obs.first().kvp is None and dv.obs.first().modality == "CT"
 
 
+def test_constructors_and_export(spark, files, tmp_path, make):
+    pairs, _ = ingest.resolve(str(files / "T1w"))
+    vs = VolumeSet.from_niftis(spark, str(tmp_path / "c"), pairs, name="MR", reorient="LAS")
+    out = {r.obs_id: r.path for r in vs.export_niftis(str(tmp_path / "x")).collect()}
+    assert sorted(out) == ["sub0_MR", "sub1_MR", "sub2_MR"]
+    a, h = nifti.parse(open(out["sub1_MR"], "rb").read())
+    np.testing.assert_array_equal(a, make((6, 5, 4), seed=1)[::-1])
+    assert orientation.axcodes(h.affine) == ("L", "A", "S")
+    write_series(tmp_path / "d" / "p1", np.ones((4, 4, 2), "uint16"))
+    assert VolumeSet.from_dicoms(spark, str(tmp_path / "dc"), [(str(tmp_path / "d" / "p1"), "p1")], name="CT")["p1_CT"].to_numpy().sum() == 32
+    z = VolumeSet.zeros(spark, str(tmp_path / "z"), "s", "v", (3, 4, 5), "uint8")
+    assert z["v"].dtype == np.uint8 and z["v"].to_numpy().sum() == 0
+    assert "sub0_MR" in vs.map(lambda a, row: float(a.mean()))._repr_html_()
+
+
 def test_arrivals(spark, files, tmp_path, make):
     uri, ck = str(tmp_path / "arr"), str(tmp_path / "ck")
     append_arrivals(spark, str(files / "T1w"), uri, "MR", ck).awaitTermination()

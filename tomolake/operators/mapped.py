@@ -228,6 +228,9 @@ class MappedSet:
         df = self.source.spark.createDataFrame(pdf) if rows else self.source.spark.createDataFrame([], f"{SUBJECT} string, {OBS} string, result string")
         return df.select(*columns) if columns else df
 
+    def _repr_html_(self) -> str:
+        return self.to_dataframe().limit(20).toPandas()._repr_html_()
+
     def update_kinds(self) -> dict[str, str]:
         """Type of every update column: bigint, double, boolean or string; one small row a type and column reaches the driver."""
 

@@ -347,6 +347,52 @@ class VolumeSet:
                 w.write_volume(a, obs_id, subject, extra.get(obs_id))
         return cls(spark, uri)
 
+    @classmethod
+    def zeros(cls, spark: SparkSession, uri: str, subject: str, obs_id: str, shape: tuple[int, ...], dtype="float32", name: str = "volumes") -> VolumeSet:
+        """A collection of one empty volume."""
+        return cls.from_arrays(spark, uri, [(subject, obs_id, np.zeros(voxels.check_shape(shape), dtype))], name)
+
+    @classmethod
+    def from_niftis(
+        cls, spark: SparkSession, uri: str, niftis: Sequence[tuple[str, str]], obs: pd.DataFrame | None = None, reorient: bool | str | None = None, validate_dimensions: bool = True,
+        valid_subject_ids: Sequence[str] | None = None, name: str = "volumes",
+    ) -> VolumeSet:
+        """A collection of NIfTI files, (path, subject) pairs."""
+        from tomolake.sources import ingest
+
+        return ingest.build_collection(spark, uri, niftis, name, "nifti", reorient, validate_dimensions, obs, valid_subject_ids)
+
+    @classmethod
+    def from_dicoms(
+        cls, spark: SparkSession, uri: str, dicoms: Sequence[tuple[str, str]], obs: pd.DataFrame | None = None, reorient: bool | str | None = None, validate_dimensions: bool = True,
+        valid_subject_ids: Sequence[str] | None = None, name: str = "volumes",
+    ) -> VolumeSet:
+        """A collection of DICOM series, (directory, subject) pairs."""
+        from tomolake.sources import ingest
+
+        return ingest.build_collection(spark, uri, dicoms, name, "dicom", reorient, validate_dimensions, obs, valid_subject_ids)
+
+    def export_niftis(self, directory: str, compression: bool = True) -> DataFrame:
+        """(obs_id, path): every volume as a NIfTI file in a directory that all executors share; a volume is put together in one task."""
+        import json
+
+        heads = self.headers.select(OBS, "shape", F.col("meta").alias("_meta"))
+        suffix = ".nii.gz" if compression else ".nii"
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            from tomolake.sources.nifti import write_nifti
+
+            first = pdf.iloc[0]
+            a = voxels.assemble(pdf.to_dict("records"), tuple((0, int(n)) for n in first["shape"]), first["dtype"])
+            meta = dict(first["_meta"] or {})
+            affine = np.array(json.loads(meta["affine_json"])) if "affine_json" in meta else np.eye(4)
+            os.makedirs(directory, exist_ok=True)
+            path = os.path.join(directory, f"{first[OBS]}{suffix}")
+            write_nifti(path, a, affine, sform=int(meta.get("sform_code", 1)), qform=int(meta.get("qform_code", 0)), units=int(meta.get("xyzt_units", 2)))
+            return pd.DataFrame({OBS: [first[OBS]], "path": [path]})
+
+        return self.tiles.join(heads, OBS).groupBy(OBS).applyInPandas(one, f"{OBS} string, path string")
+
     def to_dataset(self, patch_size=None, labels=None, transform=None):
         from tomolake.operators.samples import Loading, SampleConfig, SampleFrame
 
