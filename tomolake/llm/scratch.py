@@ -7,13 +7,16 @@ Intermediate tables are written to the folder that all executors share
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,26 @@ def remove(df: DataFrame | None) -> None:
         _remove(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are deleted at its end, but for those that ``keep`` names: use it where a result is written out whole."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            remove(df)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` outlives the open scopes."""
+    for made in _scopes:
+        made[:] = [d for d in made if d is not df]
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends here."""
     spark = df.sparkSession
@@ -51,6 +74,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
