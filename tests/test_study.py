@@ -123,6 +123,10 @@ def test_batched_operators_equal_numpy(study, arrays):
     assert len(cut) == 1 and cut[0].nz == 1 and np.frombuffer(cut[0].voxels, "f4").tolist() == arrays["s1"][:, :, 2].ravel().tolist()
     box = ct.boxes(((1, 3), (0, 2), (1, 3))).groupBy("obs_id").agg(F.sum(F.col("nx") * F.col("ny") * F.col("nz")).alias("n")).collect()
     assert {r.n for r in box} == {8}
+    from tomolake.operators import voxels
+
+    for r in voxels.whole(ct.tiles).collect():
+        np.testing.assert_array_equal(np.frombuffer(r.voxels, r.dtype).reshape(r["shape"])[..., 0], arrays[r.obs_id[:2]])
     fg = study.seg.foreground().where("obs_id = 's0_seg'").collect()
     assert {(r.x, r.y, r.z) for r in fg} == set(map(tuple, np.argwhere(arrays["s0"] > 0.5).tolist()))
 

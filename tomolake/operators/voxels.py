@@ -122,6 +122,32 @@ def cropped(tiles: DataFrame, box: Box, extents: Sequence[int] | None = None) ->
     return tiles.select(*TILE_COLUMNS).mapInArrow(run, TILE_DDL)
 
 
+def whole(tiles: DataFrame) -> DataFrame:
+    """(obs_id, shape, dtype, voxels): volumes put together in a stream over sorted tiles; a task holds one volume at a time."""
+
+    def done(rows: list[dict]) -> dict:
+        shape = [max(r[o] + r[n] for r in rows) for o, n in (("x0", "nx"), ("y0", "ny"), ("z0", "nz"), ("t0", "nt"))]
+        a = assemble(rows, tuple((0, n) for n in shape), rows[0]["dtype"])
+        return {"obs_id": rows[0]["obs_id"], "shape": shape, "dtype": rows[0]["dtype"], "voxels": a.tobytes()}
+
+    schema = pa.schema([("obs_id", pa.string()), ("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("voxels", pa.binary())])
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if held and r["obs_id"] != held[0]["obs_id"]:
+                    out.append(done(held))
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([done(held)], schema=schema)
+
+    return tiles.select(*TILE_COLUMNS).repartition("obs_id").sortWithinPartitions("obs_id").mapInArrow(run, "obs_id string, shape array<int>, dtype string, voxels binary")
+
+
 def values(tiles: DataFrame) -> DataFrame:
     """(obs_id, value): every voxel as a double, exploded in the JVM from one array a tile."""
 

@@ -368,11 +368,11 @@ def tile_table(df: DataFrame, key: str, array: str, shape=SHAPE, extents=PATCH)
 def tile_roundtrip(s, d):
     """Cut to 2 x 2 x 2 tiles and put together again."""
 
-    def whole(pdf):
-        a = voxels.assemble(pdf.to_dict("records"), tuple((0, n) for n in SHAPE), pdf["dtype"].iloc[0])
-        return pd.DataFrame({"vec_id": [int(pdf["obs_id"].iloc[0])], "v": [a.astype(float).ravel().tolist()]})
+    def flat(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({"vec_id": pdf["obs_id"].astype("int64"), "v": [np.frombuffer(x, np.float32).astype(float) for x in pdf["voxels"]]})
 
-    v = tile_table(_vol(s, d), "vec_id", "embedding").groupBy("obs_id").applyInPandas(whole, "vec_id long, v array<double>")
+    v = voxels.whole(tile_table(_vol(s, d), "vec_id", "embedding")).mapInPandas(flat, "vec_id long, v array<double>")
     return v.select("vec_id", F.posexplode("v").alias("p", "value")).select("vec_id", F.col("p").cast("long").alias("p"), _r("value").alias("value"))
 
 
