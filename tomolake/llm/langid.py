@@ -109,17 +109,18 @@ class Network:
         for d in "fb":
             u, gx, gu = p[f"u{d}"], g[f"x{d}"], g[f"u{d}"]
             ds = np.zeros((h, x.shape[1]), np.float32)
+            seen = np.empty((3 * h, *x.shape), ds.dtype)
             for t, _, (s, z, r, n, bn) in reversed(kept[d]):
                 ds = (ds + p[f"o{d}"].T @ back[t]) * (x[t] != 0)
                 dn = ds * (1 - z) * (1 - n * n)
                 dz = ds * (s - n) * z * (1 - z)
                 dr = dn * bn * r * (1 - r)
-                da = np.concatenate([dz, dr, dn])
+                seen[:h, t], seen[h : 2 * h, t], seen[2 * h :, t] = dz, dr, dn
                 db = np.concatenate([dz, dr, dn * r])
-                for k in range(3 * h):
-                    gx[k] += np.bincount(x[t], da[k], 256)
                 gu += db @ s.T
                 ds = ds * z + u.T @ db
+            for k in range(3 * h):
+                gx[k] += np.bincount(x.ravel(), seen[k].ravel(), 256)
         return loss, g
 
 
