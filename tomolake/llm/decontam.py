@@ -38,9 +38,9 @@ _M = U(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Bounds:
-    q: int = 12
+    q: int = 10
     window: int = 80
-    edit_rate: float = 0.06
+    edit_rate: float = 0.08
     shortest: int = 24
     slice_chars: int = 8_000_000
 
