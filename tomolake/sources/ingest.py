@@ -19,7 +19,7 @@ from tomolake.functions.naming import infer_series_type
 from tomolake.functions.orientation import axcodes, reorient
 from tomolake.operators import voxels
 from tomolake.operators.frames import OBS, SUBJECT
-from tomolake.operators.volumeset import HEADER_DDL, MANIFEST, VolumeSet, commit, unique_obs_ids, write_tiles
+from tomolake.operators.volumeset import MANIFEST, VolumeSet, commit, unique_obs_ids, write_tiles
 from tomolake.storage import Store, snapshot
 
 NIFTI_DDL = (
