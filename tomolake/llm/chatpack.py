@@ -34,7 +34,6 @@ from tomolake.llm.textkit import lean
 
 TURN, END = "<|turn|>", "<|end|>"
 _CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])|<(?=/?(?:bos|eos|pad|unk)>)")
-_ESCAPED = re.compile(r"\\(.)", re.S)
 _HEAD = re.compile(r"((?:\\.|[^\\\n])*)\n", re.S)
 
 
