@@ -32,7 +32,7 @@ from tomolake.llm.textkit import chunks, lean, utf8
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 APART = " .-_*"
 K = 28  # a-z, space, any other sign
-LONGEST = 48  # longer runs are no words: numbers, keys, drawings
+CACHED = 64  # longer spans seldom come twice
 
 _SIGNS = "0-9@$!|+€("
 SUSPECT = re.compile(
@@ -85,9 +85,10 @@ def language_model(texts: DataFrame) -> np.ndarray:
 class Decoder:
     """Restores suspect spans under a trigram model; decoded spans are remembered (a bounded cache)."""
 
-    def __init__(self, model: np.ndarray, sign: float = 1.0, keep_sign: float = 6.0, drop: float = 0.5, keep_gap: float = 4.0, repeat: float = 1.0):
+    def __init__(self, model: np.ndarray, sign: float = 1.0, keep_sign: float = 6.0, drop: float = 0.5, keep_gap: float = 4.0, repeat: float = 1.0, key: float = 20.0):
         self.m = model.tolist()
         self.cost = (sign, keep_sign, drop, keep_gap, repeat)
+        self.key = key
         self.span = lru_cache(maxsize=200_000)(self._span)
 
     def _options(self, s: str, i: int, spaced: bool) -> list[tuple[str, float]]:
@@ -102,14 +103,14 @@ class Decoder:
         return [(c, 0.0)]
 
     def _span(self, s: str) -> str:
-        """The best path through the lattice of ``s`` (lower case)."""
+        """The best path through the lattice of ``s`` (lower case, any length); ``s`` itself where a key, drawn evenly from all symbols, explains it better."""
         spaced = len(s) > 3 and s[1] in APART
         m = self.m
-        states = {(26, 26): (0.0, "")}
+        states = {(26, 26): (0.0, None)}
         for i in range(len(s)):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             options = self._options(s, i, spaced)
-            for (a, b), (score, text) in states.items():
+            for (a, b), (score, path) in states.items():
                 for x, cost in options:
                     if x:
                         o = ord(x)
@@ -118,13 +119,20 @@ class Decoder:
                     else:
                         key, v = (a, b), score + cost
                     if key not in new or v > new[key][0]:
-                        new[key] = (v, text + x)
+                        new[key] = (v, (path, x) if x else path)
             states = new
-        return max(((v + m[a][b][26], t) for (a, b), (v, t) in states.items()), default=(0.0, s))[1]
+        score, path = max(((v + m[a][b][26], t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])
+        if score < -self.key - len(s) * np.log(K):
+            return s
+        out = []
+        while path is not None:  # paths share their beginnings, so work and memory are linear in the span
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
 
     def __call__(self, text: str) -> str:
         """The whole text, lower-cased, with its suspect spans restored."""
-        return SUSPECT.sub(lambda x: self.span(x[0]) if len(x[0]) <= LONGEST else x[0], text.lower())
+        return SUSPECT.sub(lambda x: (self.span if len(x[0]) <= CACHED else self._span)(x[0]), text.lower())
 
 
 _CLASS = np.zeros(0x250, np.uint8)  # 1 letter, 2 gap, 4 sign; later letters of Unicode are taken for letters
