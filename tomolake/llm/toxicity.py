@@ -1,8 +1,8 @@
 """Toxicity of whole texts: noisy-channel restoration, then a lexical score.
 
 A character trigram model is counted over every text of the corpus. Suspect
-spans (letters mixed with leetspeak signs, letters apart from one another, letters
-repeated) become lattices: each sign is itself or a letter it stands for,
+spans (runs with letters and leetspeak signs, letters or signs apart from one another,
+letters repeated) become lattices: each sign is itself or a letter it stands for,
 separators and repeats may be dropped, each at a cost. Viterbi decoding under the
 trigram model picks the path; other text has one path, itself. Words of the
 restored text and their prefixes are the features of a logistic regression,
@@ -31,15 +31,20 @@ from tomolake.llm.textkit import chunks, lean, utf8
 #: What signs stand for (fixed values of common leetspeak).
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 APART = " .-_*"
+PUNCTUATION = "!|+("
 K = 28  # a-z, space, any other sign
+WIDE = 3  # times the cost of a dropped gap: what it costs to keep a wide one
 CACHED = 64  # longer spans seldom come twice
 
 _SIGNS = "0-9@$!|+€("
+_UNIT, _GAPS, _RUN = rf"(?:[^\W\d_]|[{_SIGNS}])", r"[ .\-_*]++", r"[\w@$!|+€(]"
+#: Four or more letters or signs apart from one another; a run with a letter and a sign, or with a letter three times in a row.
 SUSPECT = re.compile(
-    r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)"
-    rf"|[^\W\d_]*[{_SIGNS}]+(?=[^\W\d_])[\w@$!|+€(]*"
-    r"|\w*([^\W\d_])\1\1\w*"
+    rf"(?<!\w)(?:{_UNIT}{_GAPS}){{3,}}{_UNIT}(?!\w)"
+    rf"|(?<!{_RUN})(?={_RUN}*?[^\W\d_])(?:(?={_RUN}*?[{_SIGNS}])|(?={_RUN}*?([^\W\d_])\1\1)){_RUN}++"
 )
+GAPS = re.compile(_GAPS)
+LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 
 _SYMBOL = np.full(256, 27, np.int64)
@@ -79,6 +84,11 @@ def language_model(texts: DataFrame) -> np.ndarray:
     return np.log(three)
 
 
+def _symbol(c: str) -> int:
+    o = ord(c)
+    return o - 97 if 97 <= o <= 122 else 26 if c == " " else 27
+
+
 # -- decoding ---------------------------------------------------------------------------------
 
 
@@ -91,30 +101,37 @@ class Decoder:
         self.key = key
         self.span = lru_cache(maxsize=200_000)(self._span)
 
-    def _options(self, s: str, i: int, spaced: bool) -> list[tuple[str, float]]:
+    def _lattice(self, s: str):
+        """For each place of ``s`` the choices (text, symbol, cost); symbol -1 stands for nothing."""
         sign, keep_sign, drop, keep_gap, repeat = self.cost
-        c = s[i]
-        if c in STANDS_FOR:
-            return [(x, -sign) for x in STANDS_FOR[c]] + [(c, -keep_sign)]
-        if c in APART and spaced:
-            return [("", -drop), (c, -keep_gap)]
-        if i and c == s[i - 1] and c.isalpha():
-            return [(c, -repeat if i > 1 and s[i - 2] == c else 0.0), ("", -repeat)]
-        return [(c, 0.0)]
+        spaced = len(s) > 3 and s[1] in APART
+        gaps = GAPS.findall(s) if spaced else []
+        unit = min(map(len, gaps), default=0)
+        ends = len(s.rstrip(PUNCTUATION))
+        i = 0
+        while i < len(s):
+            c = s[i]
+            k = _symbol(c)
+            if spaced and c in APART:
+                c = GAPS.match(s, i)[0]  # a gap wider than the others is likely one between words
+                yield [("", -1, -drop), (c, k, -keep_gap if len(c) == unit else -WIDE * drop)]
+            elif c in STANDS_FOR:  # at the end of a word some signs are punctuation as well
+                yield [(x, _symbol(x), -sign) for x in STANDS_FOR[c]] + [(c, k, -keep_sign if i < ends else 0.0)]
+            elif i and c == s[i - 1] and c.isalpha():
+                yield [(c, k, -repeat if i > 1 and s[i - 2] == c else 0.0), ("", -1, -repeat)]
+            else:
+                yield [(c, k, 0.0)]
+            i += len(c)
 
     def _span(self, s: str) -> str:
         """The best path through the lattice of ``s`` (lower case, any length); ``s`` itself where a key, drawn evenly from all symbols, explains it better."""
-        spaced = len(s) > 3 and s[1] in APART
         m = self.m
         states = {(26, 26): (0.0, None)}
-        for i in range(len(s)):
+        for options in self._lattice(s):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            options = self._options(s, i, spaced)
             for (a, b), (score, path) in states.items():
-                for x, cost in options:
-                    if x:
-                        o = ord(x)
-                        k = o - 97 if 97 <= o <= 122 else 26 if x == " " else 27
+                for x, k, cost in options:
+                    if k >= 0:
                         key, v = (b, k), score + cost + m[a][b][k]
                     else:
                         key, v = (a, b), score + cost
@@ -132,11 +149,17 @@ class Decoder:
 
     def __call__(self, text: str) -> str:
         """The whole text, lower-cased, with its suspect spans restored."""
-        return SUSPECT.sub(lambda x: (self.span if len(x[0]) <= CACHED else self._span)(x[0]), text.lower())
+        return SUSPECT.sub(self._restored, text.lower())
+
+    def _restored(self, found: re.Match) -> str:
+        s = found[0]
+        if not LETTER.search(s):  # digits and drawings
+            return s
+        return self.span(s) if len(s) <= CACHED else self._span(s)
 
 
 _CLASS = np.zeros(0x250, np.uint8)  # 1 letter, 2 gap, 4 sign; later letters of Unicode are taken for letters
-_CLASS[[c for c in range(0x250) if chr(c).isalpha()]] = 1
+_CLASS[[c for c in range(0x250) if LETTER.match(chr(c))]] = 1
 _CLASS[[ord(c) for c in APART]] = 2
 _CLASS[[ord(c) for c in "".join(STANDS_FOR) if ord(c) < 0x250]] = 4
 
@@ -152,12 +175,15 @@ def suspects(texts: list[str]) -> np.ndarray:
     c[x == ord("€")] = 4
     letter, gap = c == 1, c == 2
     hit = np.zeros(len(x), bool)
-    hit[:-1] = (c[:-1] == 4) & letter[1:]
+    sign, joined = c == 4, letter | (x == ord("_"))  # a run with a letter and a sign has a sign beside one of these
+    hit[:-1] = sign[:-1] & joined[1:] | joined[:-1] & sign[1:]
     if len(x) > 2:
         hit[:-2] |= letter[:-2] & (x[:-2] == x[1:-1]) & (x[:-2] == x[2:])
-    if len(x) > 6:
-        pair = letter[:-1] & gap[1:]
-        hit[:-6] |= pair[:-5] & pair[2:-3] & pair[4:-1] & letter[6:]
+    once = np.flatnonzero(~(gap & np.concatenate([[False], gap[:-1]])))  # runs of gaps count as one
+    if len(once) > 6:
+        unit, gap = (letter | sign)[once], gap[once]
+        pair = unit[:-1] & gap[1:]
+        hit[once[:-6]] |= pair[:-5] & pair[2:-3] & pair[4:-1] & unit[6:]
     out = np.zeros(len(texts), bool)
     out[np.searchsorted(ends, np.flatnonzero(hit), side="right")] = True
     return out
