@@ -63,7 +63,10 @@ IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’\-]+"
-NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )?(?P<first>{_CAP})(?P<last>(?: {_CAP})?)")
+#: A capital word, its title, and the capital word ahead, which is left for the next match.
+NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )?(?P<first>{_CAP})(?=(?P<last>(?: {_CAP})?))")
+
+SURNAME = re.compile(rf" {_CAP}")
 
 
 # -- permutations -----------------------------------------------------------------------------
@@ -179,11 +182,13 @@ def entities(text: str) -> list[Entity]:
         found += [e for m in NUMBER.finditer(text) if (e := _number(m))]
     for m in NAMES.finditer(text):
         if m["title"] or (m["first"] in _GIVEN and m["last"]):
-            last = m["last"]
-            if m["title"] and m["first"] not in _GIVEN:  # a title and a surname; a second capital word belongs to it
-                found.append(Entity(m.start("first"), m.end(), "name", f"|{(m['first'] + last).lower()}"))
-            elif m["first"] in _GIVEN:
-                found.append(Entity(m.start("first"), m.end(), "name", f"{m['first']}|{last[1:].lower()}"))
+            last, end = ("", m.end("first")) if m["last"][1:] in TITLES else (m["last"], m.end("last"))
+            if m["title"] and m["first"] not in _GIVEN:  # a title and a surname; a second capital word belongs to it unless it begins a name
+                if last[1:] in _GIVEN and SURNAME.match(text, end):
+                    last, end = "", m.end("first")
+                found.append(Entity(m.start("first"), end, "name", f"|{(m['first'] + last).lower()}"))
+            elif m["title"] or last:
+                found.append(Entity(m.start("first"), end, "name", f"{m['first']}|{last[1:].lower()}"))
     out: list[Entity] = []
     taken: list[tuple[int, int]] = []
     for e in found:  # texts hold few entities
