@@ -5,8 +5,8 @@ An item's windows of ``window`` characters (the whole item, when shorter) are
 searched in every document: if a window occurs with at most e edits, it shares at
 least ``window - q + 1 - q * e`` of its q-grams with one band of diagonals (place
 in the document less place in the item). Shared q-grams are counted in bands of
-2 (e + 1) diagonals that overlap by half; a window that reaches the bound is kept
-and verified by alignment within the band. Lengths are in bytes of UTF-8.
+2 (e + 1) diagonals that overlap by half; where the bound is reached, every window
+of the item that holds the grams counted is verified by alignment around the band. Lengths are in bytes of UTF-8.
 
 The index of the benchmark goes to every task. It is built in slices of at most
 ``slice_chars`` characters; each slice is one pass over the documents, so what is
@@ -158,25 +158,52 @@ class Index:
         ok[ok] = group[last[ok]] == group[ok]
         ok[ok] = at[last[ok]] - at[ok] <= self.w[item[ok]] - q
         found: set[tuple[int, int]] = set()
+        tried: dict[int, set[int]] = {}
         for i in np.flatnonzero(ok):
             d, k = int(doc[i]), int(item[i])
             if (d, k) in found:
                 continue
-            w, e, t = int(self.w[k]), int(self.e[k]), self.items[k]
-            end = np.searchsorted(group, group[i], side="right")
-            inside = at[i:end] <= at[i] + w - q
-            final = int(at[i:end][inside][-1])
-            low, high = int(shift[i:end][inside].min()), int(shift[i:end][inside].max())
+            w, e, t = int(self.w[k]), int(self.e[k]), np.frombuffer(self.items[k], np.uint8)
+            half, b = e + 1, int(band[i])
+            low = b // 2 * 2 * half - b % 2 * half  # the diagonals of the band
+            high = low + 2 * half - 1
             text = data[off[d] : off[d + 1]]
-            for s in dict.fromkeys((min(int(at[i]), len(t) - w), max(0, final + q - w))):
-                a = max(0, s + low - e)
-                edits, x, y = aligned(np.frombuffer(t[s : s + w], np.uint8), text[a : s + w + high + e], e)
-                if edits <= e:
+            # a window that holds the gram at i and the last one of the bound begins in here
+            first, final = max(0, int(at[last[i]]) + q - w), min(int(at[i]), len(t) - w)
+            seen = tried.setdefault(int(group[i]), set())
+            for some in ([s for s in dict.fromkeys((final, first)) if s not in seen], range(first + 1, final)):
+                starts = np.array([s for s in some if s not in seen], np.int64)
+                if not len(starts):
+                    continue
+                seen.update(starts.tolist())
+                a, z = max(0, int(starts.min()) + low - e), int(starts.max()) + w + high + e
+                edits = distances(t[starts[:, None] + np.arange(w)], text[a : max(a, z)], e)
+                s = int(starts[edits.argmin()])
+                if edits.min() <= e:
+                    n, x, y = aligned(t[s : s + w], text[a:z], e)
                     found.add((d, k))
-                    yield d, k, a + x, a + y, edits
+                    yield d, k, a + x, a + y, n
                     break
 
 
+def distances(patterns: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """The edits of the best occurrence of each pattern (a row each) anywhere in the text; most + 1 when there are more."""
+    out = np.full(len(patterns), most + 1)
+    live, j = np.arange(len(patterns)), np.arange(len(text) + 1, dtype=np.int32)
+    row = np.zeros((len(patterns), len(text) + 1), np.int32)
+    for c in patterns.T:
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + (text != c[live, None]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - j, axis=1) + j  # moving along the text costs one a step
+        near = row.min(1) <= most
+        if not near.all():
+            live, row = live[near], row[near]
+            if not len(live):
+                return out
+    out[live] = row.min(1)
+    return out
+
+
 def aligned(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
     """(edits, from, to) of the best occurrence of the pattern in the band's stretch of text; edits is most + 1 when there is none."""
     raw = text.tobytes()
