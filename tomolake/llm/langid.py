@@ -16,12 +16,13 @@ are predicted alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomolake.llm.textkit import lean, utf8
@@ -41,7 +42,7 @@ class Shape:
     steps: int = 320
     rate: float = 0.02
     most_docs: int = 4_000
-    most_labels: int = 64
+    least_docs: int = 8  # of a label, where it has as many
     seed: int = 5
 
 
@@ -128,7 +129,9 @@ def train(texts: list[bytes], labels: list[int], n_labels: int, shape: Shape) ->
     """Adam on random windows; the sample's labels are drawn evenly."""
     net = Network(shape.hidden, n_labels, shape.seed)
     rng = np.random.default_rng(shape.seed)
-    by = [[k for k, y in enumerate(labels) if y == c] for c in range(n_labels)]
+    by: list[list[int]] = [[] for _ in range(n_labels)]
+    for k, y in enumerate(labels):
+        by[y].append(k)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     if n_labels < 2:
@@ -153,7 +156,7 @@ def train(texts: list[bytes], labels: list[int], n_labels: int, shape: Shape) ->
 
 
 def _windows(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(lang, piece): two seeded windows of each sampled document, for training only."""
+    """(lang, piece, full): two seeded windows of each sampled document, or one around its first letter that is not full, for training only."""
     size, seed = 2 * shape.length, shape.seed
 
     def run(pdfs):
@@ -162,32 +165,48 @@ def _windows(docs: DataFrame, shape: Shape) -> DataFrame:
             for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
                 raw = (text or "").encode()
                 rng = np.random.default_rng([seed, int(doc) & 0xFFFFFFFF])
+                letters = _IS_LETTER[np.frombuffer(raw, np.uint8)]
+                kept = len(rows)
                 for _ in range(2):
                     a = int(rng.integers(max(1, len(raw) - size + 1)))
-                    piece = raw[a : a + size]
-                    if _IS_LETTER[np.frombuffer(piece, np.uint8)].sum() >= 8:
-                        rows.append((lang, piece))
-            yield pd.DataFrame(rows, columns=["lang", "piece"])
+                    if letters[a : a + size].sum() >= 8:
+                        rows.append((lang, raw[a : a + size], True))
+                if len(rows) == kept and letters.any():
+                    a = max(0, int(letters.argmax()) - size // 2)
+                    rows.append((lang, raw[a : a + size], False))
+            yield pd.DataFrame(rows, columns=["lang", "piece", "full"])
 
-    return docs.mapInPandas(run, "lang string, piece binary")
+    return docs.mapInPandas(run, "lang string, piece binary, full boolean")
 
 
 def fit(docs: DataFrame, shape: Shape) -> tuple[list[str], Network | None]:
-    """(labels, network) from at most ``most_docs`` labelled documents (least hashes of their ids)."""
+    """(labels, network): every label of a training row with a letter, learned from about ``most_docs`` documents, dealt evenly to the labels (least hashes of their ids)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    train_rows = rows.where("doc_id is not null and lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    picked = train_rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(shape.most_docs).distinct()
+    train_rows = rows.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
+    keys = train_rows.select("doc_id", "lang")
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not sizes:
+        return [], None
+    each = max(shape.least_docs, shape.most_docs // len(sizes))
+    rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / r.n)) for r in sizes], "lang string, rate double")
+    few = keys.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("rate") * F.lit(1 << 30)).select("doc_id", "lang").distinct()  # bounds what one label's task ranks
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = few.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang")
     sample = _windows(train_rows.join(F.broadcast(picked), ["doc_id", "lang"]), shape).orderBy("lang", "piece").collect()
-    names = sorted({r.lang for r in sample}, key=lambda x: (-sum(r.lang == x for r in sample), x))[: shape.most_labels]
+    rich = {r.lang for r in sample if r.full}
+    sample = [r for r in sample if r.full or r.lang not in rich]  # windows of few letters only where a label has no others
+    count = Counter(r.lang for r in sample)
+    names = sorted(count, key=lambda x: (-count[x], x))
     if not names:
         return [], None
-    sample = [r for r in sample if r.lang in set(names)]
-    return names, train([bytes(r.piece) for r in sample], [names.index(r.lang) for r in sample], len(names), shape)
+    number = {x: k for k, x in enumerate(names)}
+    return names, train([bytes(r.piece) for r in sample], [number[r.lang] for r in sample], len(names), shape)
 
 
 def probabilities(net: Network, data: np.ndarray, off: np.ndarray, shape: Shape, batch: int = 4096) -> np.ndarray:
     """texts x labels: the mean over letter positions of each position's probabilities; zeros without any."""
     n, core, ctx = len(off) - 1, shape.core, shape.context
+    batch = max(1, min(batch, 32_768 // len(net.p["c"])))  # many labels take smaller batches
     lens = np.diff(off)
     many = -(-lens // core)
     doc = np.repeat(np.arange(n), many)
