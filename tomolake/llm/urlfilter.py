@@ -3,7 +3,9 @@
 A URL takes the verdict of the longest rule that fits it. Others take their host's:
 trust is a personalised PageRank from hosts with allowed pages along links, distrust
 one from hosts with blocked pages against the links, and a host is blocked when its
-distrust reaches ``floor`` and exceeds ``ratio`` times its trust. Everything is
+distrust, times the number of blocked pages, reaches ``floor`` and its distrust
+exceeds ``ratio`` times its trust. Walks go on until no more than ``residual`` of
+their mass moves. Everything is
 DataFrame operations; links are aggregated to weighted host edges before any join.
 Mass at a host without links onward is lost, in both walks.
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tomolake.llm import scratch
 
 URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s<>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The registered query's rules: (verdict, rule).
@@ -33,10 +35,11 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 @dataclass(frozen=True)
 class Walk:
     damping: float = 0.85
-    rounds: int = 12
+    rounds: int = 12  # at least, unless nothing moves any more
     ratio: float = 1.0
-    floor: float = 1e-9
+    floor: float = 1e-9  # in pages of the seeds, so that it does not depend on the size of the table
     cut_every: int = 4
+    residual: float = 1e-6  # of the mass, which still moves when a walk ends
 
 
 def host_of(url: Column) -> Column:
@@ -61,7 +64,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts."""
     links = pages.where("html is not null").select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
-    return links.select("src", host_of(F.col("link")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    link = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
+    return links.select("src", host_of(link).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def walk(edges: DataFrame, seeds: DataFrame, w: Walk, name: str) -> DataFrame:
@@ -73,15 +77,25 @@ def walk(edges: DataFrame, seeds: DataFrame, w: Walk, name: str) -> DataFrame:
     steps = scratch.written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), f"{name}-steps")
     if steps.isEmpty():
         return start.select("host", (F.lit(1 - w.damping) * F.col("seed")).alias("score"))
-    score = start.select("host", F.col("seed").alias("score"))
-    for k in range(1, w.rounds + 1):
-        flow = score.join(steps, score.host == steps.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        moved = flow.select(F.col("dst").alias("host"), (F.lit(w.damping) * F.col("got")).alias("score"))
-        fresh = start.select("host", (F.lit(1 - w.damping) * F.col("seed")).alias("score"))
-        score = fresh.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % w.cut_every == 0:
-            score = scratch.written(score, f"{name}-{k}")
-    return score
+    # the walk's steps one by one: what moved in step k is all that the scores still lack
+    moving = start.select("host", F.col("seed").alias("moved"))
+    parts, done, k = [], None, 0
+    while True:
+        k += 1
+        parts.append(moving.select("host", (F.lit(1 - w.damping) * F.col("moved")).alias("score")))
+        moving = moving.join(steps, moving.host == steps.src).groupBy("dst").agg(F.sum(F.lit(w.damping) * F.col("moved") * F.col("p")).alias("moved")).withColumnRenamed("dst", "host")
+        if k % w.cut_every:
+            continue
+        old = done
+        for part in parts:
+            done = part if done is None else done.unionByName(part)
+        done, parts = scratch.written(done.groupBy("host").agg(F.sum("score").alias("score")), f"{name}-{k}"), []
+        moving = scratch.written(moving, f"{name}-moving-{k}")
+        if old is not None:
+            scratch.remove(old)
+        left = moving.agg(F.sum("moved")).first()[0] or 0.0
+        if left == 0 or (k >= w.rounds and left <= w.residual):
+            return done.unionByName(moving.withColumnRenamed("moved", "score")).groupBy("host").agg(F.sum("score").alias("score"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, w: Walk = Walk()) -> DataFrame:
@@ -95,12 +109,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, w: Walk =
     edges = scratch.written(host_edges(raw), "edges")
     trust = walk(edges, seeds.where("ruled = 'allow'").select("host", "n"), w, "trust")
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = walk(against, seeds.where("ruled = 'block'").select("host", "n"), w, "distrust")
+    blocked = seeds.where("ruled = 'block'").select("host", "n")
+    distrust = walk(against, blocked, w, "distrust")
+    floor = w.floor / (blocked.agg(F.sum("n")).first()[0] or 1)
     scores = scratch.written(
         trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")),
         "scores",
     )
-    by_host = F.when((F.coalesce("distrust", F.lit(0.0)) >= w.floor) & (F.col("distrust") > F.lit(w.ratio) * F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
+    by_host = F.when((F.coalesce("distrust", F.lit(0.0)) >= floor) & (F.col("distrust") > F.lit(w.ratio) * F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
