@@ -6,29 +6,37 @@ searched in every document: if a window occurs with at most e edits, it shares a
 least ``window - q + 1 - q * e`` of its q-grams with one band of diagonals (place
 in the document less place in the item). Shared q-grams are counted in bands of
 2 (e + 1) diagonals that overlap by half; where the bound is reached, every window
-of the item that holds the grams counted is verified by alignment around the band. Lengths are in bytes of UTF-8.
+of the item that holds the grams counted is verified by alignment around the band. Lengths are in characters.
 
 The index of the benchmark goes to every task. It is built in slices of at most
-``slice_chars`` characters; each slice is one pass over the documents, so what is
-broadcast has a bound whatever the size of the benchmark.
+``slice_chars`` characters; each slice is one pass over the documents, whose result
+is written before the next slice is broadcast, so that a task holds one of them
+whatever the size of the benchmark. Grams that many items share are worked off by
+halves of the texts and of the items, so that ``most_hits`` bounds what is held at once.
 
 Defined cases: null or empty texts match nothing; items shorter than ``shortest``
 after normalising are no evidence and match nothing; repeated items report under
-each of their ids, repeated documents once per row; extra columns are kept by
-``clean`` and ignored by ``find``.
+each of their ids, repeated documents once per row; of several
+windows in the budget the first to be verified is reported; very long texts are searched whole; an empty
+table, or an empty benchmark, matches nothing; extra columns are kept by ``clean``
+and ignored by ``find``.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomolake.llm import scratch
 from tomolake.llm.textkit import U, chunks, lean, mix, utf8
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -43,15 +51,45 @@ class Bounds:
     edit_rate: float = 0.08
     shortest: int = 24
     slice_chars: int = 8_000_000
+    most_hits: int = 4_000_000  # shared grams that are held at once
 
     def edits(self, length: int) -> int:
         return min(int(self.edit_rate * length), (length - self.q) // self.q)
 
 
+@lru_cache(maxsize=1)
+def _is_word() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, first byte) of each character of UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[at]
+    size = 1 + (first >= 0xC0) + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    code = (first & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint8)[size]).astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] = code[more] << 6 | (data[np.minimum(at[more] + k, len(data) - 1)] & 0x3F)
+    return code, at
+
+
+def _parted(x: np.ndarray) -> np.ndarray:
+    """UTF-8 in which characters beyond ASCII that are no letters or digits are spaces, byte for byte."""
+    if not len(x) or x.max() < 128:
+        return x
+    code, at = characters(x)
+    other = (code >= 128) & ~_is_word()[np.minimum(code, 0x10FFFF)]
+    if not other.any():
+        return x
+    return np.where(np.repeat(other, np.diff(np.append(at, len(x)))), np.uint8(32), x)
+
+
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the normalised texts; each text begins and ends without a space."""
     data, off = utf8(pc.utf8_lower(column.cast(pa.large_string())))
-    x = _FOLD[data]
+    x = _parted(_FOLD[data])
     if not len(x):
         return x, off
     space = x == 32
@@ -75,7 +113,7 @@ def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(x: np.ndarray, q: int) -> np.ndarray:
-    """The hash of the q bytes from each place, by doubling."""
+    """The hash of the q symbols from each place, by doubling."""
     n = len(x) - q + 1
     if n <= 0:
         return np.zeros(0, U)
@@ -102,11 +140,12 @@ class Index:
         self.b = bounds
         data, off = normal(pa.array(texts, pa.large_string()))
         self.items = [data[off[k] : off[k + 1]].tobytes() for k in range(len(ids))]
+        self.symbols = [characters(np.frombuffer(t, np.uint8))[0] for t in self.items]
         self.ids = ids
         h, item, at = [], [], []
-        for k, t in enumerate(self.items):
+        for k, t in enumerate(self.symbols):
             if len(t) >= max(bounds.shortest, bounds.q):
-                g = grams(np.frombuffer(t, np.uint8), bounds.q)
+                g = grams(t, bounds.q)
                 h.append(g)
                 item.append(np.full(len(g), k))
                 at.append(np.arange(len(g)))
@@ -116,13 +155,19 @@ class Index:
         self.bits = max(16, int(8 * len(h)).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[h >> U(64 - self.bits)] = True
-        n = np.array([len(t) for t in self.items], np.int64)
+        n = np.array([len(t) for t in self.symbols], np.int64)
         self.w = np.minimum(n, bounds.window)
         self.e = np.array([bounds.edits(int(w)) if w >= bounds.q else 0 for w in self.w], np.int64)
         self.t = np.maximum(1, self.w - bounds.q + 1 - bounds.q * self.e)
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, from, to, edits) of the first verified window of each text and item."""
+        """(text, item, from, to, edits) of the first verified window of each text and item, in characters; ``data`` is UTF-8."""
+        if len(data) and data.max() >= 128:
+            data, at = characters(data)
+            off = np.searchsorted(at, off)
+        yield from self._matches(data, off, 0, len(self.items))
+
+    def _matches(self, data: np.ndarray, off: np.ndarray, first_item: int, end_item: int):
         q = self.b.q
         g = grams(data, q)
         if not len(g) or not len(self.h):
@@ -136,8 +181,30 @@ class Index:
         inside = place + q <= off[doc + 1]
         place, lo, hi, doc = place[inside], lo[inside], hi[inside], doc[inside]
         many = hi - lo
-        if not many.sum():
+        total = int(many.sum())
+        if not total:
             return
+        if total > self.b.most_hits:  # texts and items do not depend on one another
+            if (half := (len(off) - 1) // 2) > 0:
+                yield from self._matches(data[: off[half]], off[: half + 1], first_item, end_item)
+                for d, *rest in self._matches(data[off[half] :], off[half:] - off[half], first_item, end_item):
+                    yield (d + half, *rest)
+                return
+            if end_item - first_item > 1:
+                mid = (first_item + end_item) // 2
+                yield from self.part(first_item, mid)._matches(data, off, first_item, mid)
+                yield from self.part(mid, end_item)._matches(data, off, mid, end_item)
+                return
+            w, e = int(self.w[first_item]), int(self.e[first_item])
+            if len(data) > 8 * (w + e):  # one text, one item: pieces that overlap by a window
+                half = len(data) // 2 + (w + e)
+                left = list(self._matches(data[:half], np.array([0, half]), first_item, end_item))
+                yield from left
+                if not left:
+                    start = half - 2 * (w + e)
+                    for d, k, x, y, n in self._matches(data[start:], np.array([0, len(data) - start]), first_item, end_item):
+                        yield d, k, x + start, y + start, n
+                return
         row = np.repeat(np.arange(len(place)), many)
         entry = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]
         doc, place, item, at = doc[row], place[row], self.item[entry], self.at[entry]
@@ -163,7 +230,7 @@ class Index:
             d, k = int(doc[i]), int(item[i])
             if (d, k) in found:
                 continue
-            w, e, t = int(self.w[k]), int(self.e[k]), np.frombuffer(self.items[k], np.uint8)
+            w, e, t = int(self.w[k]), int(self.e[k]), self.symbols[k]
             half, b = e + 1, int(band[i])
             low = b // 2 * 2 * half - b % 2 * half  # the diagonals of the band
             high = low + 2 * half - 1
@@ -186,6 +253,14 @@ class Index:
                     break
 
 
+    def part(self, first_item: int, end_item: int) -> Index:
+        """The same index with the grams of some of its items alone."""
+        out = copy.copy(self)
+        keep = (self.item >= first_item) & (self.item < end_item)
+        out.h, out.item, out.at = self.h[keep], self.item[keep], self.at[keep]
+        return out
+
+
 def distances(patterns: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
     """The edits of the best occurrence of each pattern (a row each) anywhere in the text; most + 1 when there are more."""
     out = np.full(len(patterns), most + 1)
@@ -206,9 +281,6 @@ def distances(patterns: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
 
 def aligned(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
     """(edits, from, to) of the best occurrence of the pattern in the band's stretch of text; edits is most + 1 when there is none."""
-    raw = text.tobytes()
-    if (x := raw.find(pattern.tobytes())) >= 0:
-        return 0, x, x + len(pattern)
     n = len(text)
     j = np.arange(n + 1)
     row, start = np.zeros(n + 1, np.int64), j.copy()
@@ -255,12 +327,12 @@ def find(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> Da
     spark = docs.sparkSession
     shape = "doc_id long, item_id long, start long, end long, edits int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], shape)
-    for k, index in enumerate(slices(benchmark, bounds)):
-        shared = spark.sparkContext.broadcast(index)
+    out, last = None, None
+    for index in slices(benchmark, bounds):
+        out, last = _settled(out, last), spark.sparkContext.broadcast(index)
 
         @lean
-        def run(batches, shared=shared):
+        def run(batches, shared=last):
             x = shared.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
@@ -269,17 +341,27 @@ def find(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()], strict=True)], names=["doc_id", "item_id", "start", "end", "edits"])
 
         found = rows.mapInArrow(run, shape)
-        out = found if not k else out.unionByName(found)
-    return out
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], shape) if out is None else out
+
+
+def _settled(df: DataFrame | None, shared):
+    """``df``, which a broadcast index has made, as a written table; the index leaves the executors."""
+    if df is None or shared is None:
+        return df
+    df = scratch.written(df, "slice")
+    shared.unpersist()
+    return df
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs`` that hold no item's window, with all their columns."""
+    last = None
     for index in slices(benchmark, bounds):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs, last = _settled(docs, last), docs.sparkSession.sparkContext.broadcast(index)
 
         @lean
-        def run(batches, shared=shared):
+        def run(batches, shared=last):
             for batch in batches:
                 bad = {h[0] for h in _of_batch(shared.value, batch.column("text").cast(pa.large_string()))}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
