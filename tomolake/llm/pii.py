@@ -7,17 +7,26 @@ checked numbers keep their validity, given names keep gender and script, and the
 notation of the occurrence is put back. A permutation cannot send two entities to
 one surrogate; each is conjugate to a single cycle, so none maps to itself.
 Distinctness is checked all the same, over all entities of the corpus; a kind with
-a collision takes the next round of its key.
+a collision takes the next round of its key. A surrogate may be another entity's
+real value; that entity is replaced as well, so surrogates stay apart.
+
+Numbers that carry a check (cards, IBANs) count only where it holds. A document's
+full names tell its bare mentions: a surname or given name that stands alone, with
+or without a possessive, takes the surrogate that it has in the full name. Names are
+found in scripts with capitals (Latin, Cyrillic, Greek).
 
 Defined cases: null texts stay null; empty texts and texts without entities come
-back unchanged; repeated rows are rewritten alike; other columns are kept, but for
-one with the name of the count, which gives way to it.
+back unchanged; very long texts are rewritten whole; where entities overlap the
+kinds take precedence in the order of ``entities``; repeated rows are rewritten
+alike; an empty table gives an empty table; other columns are kept, but for one with
+the name of the count, which gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,12 +45,14 @@ GIVEN = {
     ("latin", "m"): "Adam Alberto Alexander Andreas Andrew Antoine Anthony Benjamin Bernard Brian Carlos Charles Christian Daniel David Dieter Edward Enrique Eric Felix Fernando Francisco Frank Fritz George Georges Hans Heinrich Henry Hugo Jack Jacques James Javier Jean John Jorge Joseph Juan Julien Karl Klaus Laurent Lukas Manuel Mark Martin Matthew Michael Miguel Nicolas Olivier Pablo Paul Peter Philippe Pierre Ricardo Richard Robert Stefan Thomas Walter William Wolfgang".split(),
     ("cyrillic", "f"): "Анна Екатерина Елена Ирина Людмила Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Сергей".split(),
+    ("greek", "f"): "Αικατερίνη Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ιωάννα Κωνσταντίνα Μαρία Σοφία".split(),
+    ("greek", "m"): "Αθανάσιος Βασίλειος Γεώργιος Δημήτριος Εμμανουήλ Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης Χρήστος".split(),
 }
 #: Titles and the gender they tell; fixed values.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f"}
 
 #: Classes of characters that may stand for one another; fixed values.
-CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãéèêëíîïóôöõúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
+CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãéèêëíîïóôöõúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"]
 _CLASS = {c: (k, i) for k, x in enumerate(CLASSES) for i, c in enumerate(x)}
 _GIVEN = {name: (key, i) for key, names in GIVEN.items() for i, name in enumerate(names)}
 
@@ -53,7 +64,7 @@ NUMBER = re.compile(
     r"|(?P<card>\d{13,19}(?!\w)|\d{4}(?P<s1>[ \-])\d{4}(?P=s1)\d{4}(?P=s1)\d{1,7}(?!\w)|\d{4}(?P<s2>[ \-])\d{6}(?P=s2)\d{5}(?!\w))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<phone>\+ ?1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)|\+ ?[2-9]\d{0,2}(?:[ ./\-]?\(?\d{1,5}\)?){2,6}(?!\w)"
-    r"|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}(?!\w)|\d{3}(?P<s3>[.\-])\d{3}(?P=s3)\d{4}(?!\w)|0\d(?: \d{2}){4}(?!\w)|0\d{2,4}[ /\-]\d{5,8}(?!\w))"
+    r"|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,5}(?!\w)|(?:1(?P<s3>[.\-]))?\d{3}(?P<s4>[.\- ])\d{3}(?P=s4)\d{4}(?!\w)|0\d{2,3} \d{3,4} \d{4}(?!\w)|0\d(?: \d{2}){4}(?!\w)|0\d{2,4}[ /\-]\d{5,8}(?!\w))"
     r")"
 )
 HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])")
@@ -61,12 +72,15 @@ KEYED = re.compile(r"(?i)(?<!\w)(?:api[_-]?key|secret|token|passw(?:or)?d|access
 PREFIXED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)([0-9A-Za-z_\-]{12,})")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
-IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_CAP = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’\-]+"
+#: Eight groups, or fewer around a double colon; the address itself is checked afterwards.
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:|:){2,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΆΈΉΊΌΎΏΑ-Ω][\w'’\-]+"
 #: A capital word, its title, and the capital word ahead, which is left for the next match.
 NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )?(?P<first>{_CAP})(?=(?P<last>(?: {_CAP})?))")
 
 SURNAME = re.compile(rf" {_CAP}")
+BARE = re.compile(rf"(?<!\w){_CAP}")
+POSSESSIVE = re.compile(r"['’]s?$")
 
 
 # -- permutations -----------------------------------------------------------------------------
@@ -157,7 +171,7 @@ def _number(m: re.Match) -> Entity | None:
     while kind == "phone" and len(re.sub(r"\D", "", s)) > 15 and re.search(r"[ ./\-]", s):
         s = re.sub(r"[ ./\-][^ ./\-]*$", "", s)
     digits = re.sub(r"\D", "", s)
-    if kind == "phone" and not 7 <= len(digits) <= 15:
+    if kind == "phone" and not 7 <= len(digits) <= 15 or kind == "card" and luhn(digits[:-1]) != int(digits[-1]):
         return None
     return Entity(m.start(), m.start() + len(s), kind, ("+" if s[0] == "+" else "") + digits)
 
@@ -178,17 +192,9 @@ def entities(text: str) -> list[Entity]:
                 found.append(Entity(*m.span(), "iban", s))
         if ":" in text or "-" in text:
             found += [Entity(*m.span(), "mac", re.sub(r"[:\-]", "", m[0]).lower()) for m in MAC.finditer(text)]
-            found += [Entity(*m.span(), "ipv6", m[0].lower()) for m in IPV6.finditer(text)]
+            found += [Entity(*m.span(), "ipv6", m[0].lower()) for m in IPV6.finditer(text) if _is_ipv6(m[0])]
         found += [e for m in NUMBER.finditer(text) if (e := _number(m))]
-    for m in NAMES.finditer(text):
-        if m["title"] or (m["first"] in _GIVEN and m["last"]):
-            last, end = ("", m.end("first")) if m["last"][1:] in TITLES else (m["last"], m.end("last"))
-            if m["title"] and m["first"] not in _GIVEN:  # a title and a surname; a second capital word belongs to it unless it begins a name
-                if last[1:] in _GIVEN and SURNAME.match(text, end):
-                    last, end = "", m.end("first")
-                found.append(Entity(m.start("first"), end, "name", f"|{(m['first'] + last).lower()}"))
-            elif m["title"] or last:
-                found.append(Entity(m.start("first"), end, "name", f"{m['first']}|{last[1:].lower()}"))
+    found += _names(text)
     out: list[Entity] = []
     taken: list[tuple[int, int]] = []
     for e in found:  # texts hold few entities
@@ -198,6 +204,42 @@ def entities(text: str) -> list[Entity]:
     return sorted(out, key=lambda e: e.start)
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
+def _names(text: str) -> list[Entity]:
+    """Full names and titled ones, then bare mentions of their parts."""
+    found: list[Entity] = []
+    for m in NAMES.finditer(text):
+        if m["title"] or (m["first"] in _GIVEN and m["last"]):
+            last, end = ("", m.end("first")) if m["last"][1:] in TITLES else (m["last"], m.end("last"))
+            cut = POSSESSIVE.search(last or m["first"])
+            first = m["first"] if last or not cut else m["first"][: cut.start()]
+            last, end = (last[: cut.start()] if last and cut else last), end - (len(cut[0]) if cut else 0)
+            if m["title"] and m["first"] not in _GIVEN:  # a title and a surname; a second capital word belongs to it unless it begins a name
+                if last[1:] in _GIVEN and SURNAME.match(text, end):
+                    last, end = "", m.end("first")
+                found.append(Entity(m.start("first"), end, "name", f"|{(first + last).lower()}"))
+            elif m["title"] or last:
+                found.append(Entity(m.start("first"), end, "name", f"{first}|{last[1:].lower()}"))
+    if not found:
+        return found
+    parts = [e.canonical.partition("|") for e in found]
+    given = {first for first, _, _ in parts if first}
+    last = {x for _, _, x in parts if x and " " not in x}
+    for m in BARE.finditer(text):
+        word = POSSESSIVE.sub("", m[0])
+        if word in given:
+            found.append(Entity(m.start(), m.start() + len(word), "name", f"{word}|"))
+        elif word.lower() in last:
+            found.append(Entity(m.start(), m.start() + len(word), "name", f"|{word.lower()}"))
+    return found
+
+
 # -- replacement ------------------------------------------------------------------------------
 
 
@@ -224,7 +266,7 @@ def surrogate(e: Entity, keyed: Keyed) -> str:
         head = 2 if c[0] == "+" else 1 if c[0] == "0" else 0
         return c[:head] + keyed.text(c[head:], k, c[:head])
     if k == "card":
-        new = keyed.text(c[:-1], k)
+        new = c[:2] + keyed.text(c[2:-1], k, c[:2])  # two digits tell the network
         return new + str((luhn(new) + int(c[-1]) - luhn(c[:-1])) % 10)
     if k == "iban":
         new = keyed.text(c[4:], k, c[:2])
