@@ -8,9 +8,11 @@ weights are learned by backpropagation through time on windows of a bounded samp
 of labelled documents.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows
-with a null ``lang`` or ``doc_id`` are not learned from; without any labelled row
-everything is ``und``; with one label every text with a letter has it; repeated rows
-are predicted alike; extra columns are ignored.
+with a null ``lang`` or ``doc_id`` are not learned from; of rows that repeat an id and
+a label one (by the least hash of its text) is learned from, and all are predicted,
+equal texts alike; labels that tie go by their frequency in the sample, then by name;
+without any labelled row everything is ``und``; with one label every text with a
+letter has it; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,7 +194,9 @@ def fit(docs: DataFrame, shape: Shape) -> tuple[list[str], Network | None]:
     few = keys.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("rate") * F.lit(1 << 30)).select("doc_id", "lang").distinct()  # bounds what one label's task ranks
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = few.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "lang")
-    sample = _windows(train_rows.join(F.broadcast(picked), ["doc_id", "lang"]), shape).orderBy("lang", "piece").collect()
+    # one row a document, chosen before anything is shuffled, so that an id that many rows repeat stays one row
+    once = train_rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = _windows(once, shape).orderBy("lang", "piece").collect()
     rich = {r.lang for r in sample if r.full}
     sample = [r for r in sample if r.full or r.lang not in rich]  # windows of few letters only where a label has no others
     count = Counter(r.lang for r in sample)

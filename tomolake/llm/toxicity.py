@@ -10,8 +10,12 @@ fitted on a bounded sample of labelled training rows.
 
 Defined cases: null text is the empty text, which scores the fitted base rate; a
 null ``doc_id`` is not held out and never labelled; a document whose labels
-contradict counts once for each; without labels of both classes every text scores
-the smoothed base rate; extra columns are ignored.
+contradict counts once for each; of rows that repeat a labelled ``doc_id`` one (by
+the least hash of its text) is learned from, while all are scored, equal texts
+alike; features that tie go by name, paths of a lattice that tie by the order of
+choices; very long texts are decoded and scored whole; without labels of both
+classes every text scores the smoothed base rate; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,9 +66,11 @@ def _trigrams(batches):
     for batch in batches:
         data, off = utf8(batch.column(0))
         for i, j in chunks(off):
-            x = _SYMBOL[data[off[i] : off[j]]]
-            gap = off[i + 1 : j] - off[i]
-            x[gap[gap < len(x)]] = 26  # a text's first byte parts it from the text before
+            raw = data[off[i] : off[j]]
+            first = (raw & 0xC0) != 0x80  # a character is one symbol, as in decoding
+            x = _SYMBOL[raw[first]]
+            gap = np.append(np.cumsum(first) - first, len(x))[off[i + 1 : j] - off[i]]
+            x[gap[gap < len(x)]] = 26  # a text's first character parts it from the text before
             if len(x) > 2:
                 counts += np.bincount(x[:-2] * (K * K) + x[1:-1] * K + x[2:], minlength=K**3)
     at = np.flatnonzero(counts)
@@ -278,15 +284,17 @@ def logistic(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 0.3, s
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int = 12_000, most_features: int = 4_000):
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int = 12_000, support: int = 4):
     """({feature: number}, weights) from at most ``most_rows`` labelled training rows (least hashes first).
 
-    Features occur in 4 toxic rows at least and favour them; the ``most_features`` with the best likelihood ratios form the model.
+    Features are all that occur in ``support`` toxic rows at least and favour them; the rows bound their number.
     """
     spark = docs.sparkSession
     train = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     picked = train.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    sample = scratch.written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled").repartition(scratch.partitions(spark))
+    # one row a document, chosen before anything is shuffled, so that an id that many rows repeat stays one row
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = scratch.written(texts.select("text", "toxic"), "labelled").repartition(scratch.partitions(spark))
     total = {int(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     base = np.array([np.log((n1 + 0.5) / (n0 + 0.5 + 5 * (n0 + n1 == 0)))])
@@ -294,8 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int =
         return {}, base
     counted = sample.mapInPandas(_feature_counts(model), "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
-    best = counted.where("pos >= 4").withColumn("gain", F.col("pos") * ratio).where(ratio > 1.0).orderBy(F.desc("gain"), "f").limit(most_features)
-    known = {r.f: k for k, r in enumerate(best.collect())}
+    best = counted.where(F.col("pos") >= support).where(ratio > 1.0).select("f")
+    known = {f: k for k, f in enumerate(sorted(r.f for r in best.collect()))}
     rows = sample.mapInPandas(_rows_of(model, known), "toxic int, f array<int>").collect()
     return known, logistic([r.f for r in rows], np.array([r.toxic for r in rows], float), len(known))
 
