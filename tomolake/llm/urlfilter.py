@@ -10,8 +10,9 @@ DataFrame operations; links are aggregated to weighted host edges before any joi
 Mass at a host without links onward is lost, in both walks.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits
-no rule and is allowed; null html has no links; repeated pages count as pages;
-an empty table gives an empty table; extra columns are ignored.
+no rule and is allowed; null html has no links; a host with as much trust as distrust
+(times ``ratio``) is allowed; very long urls and pages are read whole; repeated pages
+count as pages; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,9 +71,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def walk(edges: DataFrame, seeds: DataFrame, w: Walk, name: str) -> DataFrame:
     """(host, score): personalised PageRank from ``seeds`` (host, n) along ``edges`` (src, dst, n)."""
-    mass = seeds.agg(F.sum("n").alias("all"))
-    start = seeds.crossJoin(F.broadcast(mass)).select("host", (F.col("n") / F.col("all")).alias("seed"))  # one row, not a product of rows
-    start = scratch.written(start, f"{name}-seeds")
+    mass = seeds.agg(F.sum("n")).first()[0] or 1
+    start = scratch.written(seeds.select("host", (F.col("n") / F.lit(mass)).alias("seed")), f"{name}-seeds")
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     steps = scratch.written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), f"{name}-steps")
     if steps.isEmpty():
