@@ -1,8 +1,8 @@
 """Mixing sources to target weights over a domain - language - source tree.
 
 Budgets go down the tree: a node's budget is split over its children by weight.
-A child takes no more than its subtree holds (its tokens times the most epochs);
-what it cannot take goes to its siblings by weight first, and only what no sibling
+A child takes no more than its subtree can give (its tokens times the most epochs,
+without subtrees of weight 0); what it cannot take goes to its siblings by weight first, and only what no sibling
 can take is offered, through the parent, to the parent's siblings. Each leaf then
 takes the prefix of its documents in a seeded order, epoch after epoch, each with
 an order of its own, while the tokens before a document are below its budget.
@@ -13,10 +13,13 @@ which the budget runs out are taken as they are, without a shuffle; only that on
 bucket of each leaf is sorted. The tree (one row a leaf) is planned on the driver;
 its size is checked.
 
-Defined cases: null ``lang`` or ``source`` is a value of its own (""); null or empty
-texts hold no tokens and are never taken; repeated rows are rows of their own;
-weights of children that are not named are 1; columns with the names of added ones
-give way to them; an empty table gives an empty table.
+Defined cases: a null ``lang`` or ``source`` counts as the empty name; null or empty
+texts hold no tokens and are never taken; very long texts are counted whole and taken
+whole, also where they pass a budget's end; repeated rows are rows of their own; rows
+that tie in an epoch's order go by ``doc_id``, then by a hash of the text; weights of
+children that are not named are 1, those below 0 count as 0; columns with the names
+of added ones give way to them, and any other names may occur; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -66,11 +69,14 @@ def word_tokens(text: Column) -> Column:
 
 def budgets(held: dict[Path, int], plan: Plan) -> dict[Path, float]:
     """Each leaf's token budget. ``held``: tokens of each leaf."""
+    weight = lambda c: max(0.0, plan.weights.get(c, 1.0))
     capacity: dict[Path, float] = {}
     children: dict[Path, list[Path]] = {}
     for leaf, n in held.items():
-        for k in range(len(leaf) + 1):
-            capacity[leaf[:k]] = capacity.get(leaf[:k], 0) + n * plan.epochs
+        gives = True  # a subtree of weight 0 is no part of what stands above it
+        for k in range(len(leaf), -1, -1):
+            capacity[leaf[:k]] = capacity.get(leaf[:k], 0) + n * plan.epochs * gives
+            gives = gives and (not k or weight(leaf[:k]) > 0)
             if k and leaf[:k] not in children.setdefault(leaf[: k - 1], []):
                 children[leaf[: k - 1]].append(leaf[:k])
     out: dict[Path, float] = {}
@@ -80,16 +86,14 @@ def budgets(held: dict[Path, int], plan: Plan) -> dict[Path, float]:
             out[node] = budget
             return
         share: dict[Path, float] = {}
-        live = [c for c in sorted(children.get(node, [])) if capacity[c] > 0]
+        live = [c for c in sorted(children.get(node, [])) if capacity[c] > 0 and weight(c) > 0]
         left = budget
         while live:  # children that fill up leave their rest to the others, by weight
-            total = sum(plan.weights.get(c, 1.0) for c in live)
-            if total <= 0:
-                break
-            full = [c for c in live if left * plan.weights.get(c, 1.0) / total >= capacity[c]]
+            total = sum(weight(c) for c in live)
+            full = [c for c in live if left * weight(c) / total >= capacity[c]]
             if not full:
                 for c in live:
-                    share[c] = left * plan.weights.get(c, 1.0) / total
+                    share[c] = left * weight(c) / total
                 break
             for c in full:
                 share[c] = capacity[c]
@@ -106,48 +110,53 @@ def budgets(held: dict[Path, int], plan: Plan) -> dict[Path, float]:
 def mix(docs: DataFrame, plan: Plan | Callable[[int], Plan], tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """The taken documents: columns of ``docs`` with domain, epoch (from 0), n_tokens and leaf_budget."""
     spark = docs.sparkSession
-    clash = [c for c in ("domain", "epoch", "n_tokens", "leaf_budget") if c in docs.columns]
-    docs = docs.drop(*clash)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("domain", "epoch", "n_tokens", "leaf_budget")))
+    # inside, the columns of docs have numbers for names, so that none of them can be taken for another
+    names = docs.columns
+    own = [f"u{k}" for k in range(len(names))]
+    at = {c.lower(): u for c, u in zip(names, own, strict=True)}
+    doc, text = F.col(at["doc_id"]).cast("string"), F.col(at["text"]).cast("string")
     rows = (
-        docs.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-        .withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-        .withColumn("domain", domain_column(F.col("_source")))
+        docs.toDF(*own)
+        .withColumn("lang", F.coalesce(F.col(at["lang"]).cast("string"), F.lit("")))
+        .withColumn("source", F.coalesce(F.col(at["source"]).cast("string"), F.lit("")))
+        .withColumn("domain", domain_column(F.col("source")))
+        .withColumn("doc", F.coalesce(doc, F.lit("")))
     )
-    leaf = ["domain", "_lang", "_source"]
+    leaf = ["domain", "lang", "source"]
     # texts are counted once for the plan; what follows reads this narrow table
-    narrow = scratch.written(rows.select(*leaf, F.col("doc_id").cast("string").alias("doc_id"), tokens(F.col("text").cast("string")).alias("n_tokens")), "tokens").where("n_tokens > 0")
+    narrow = scratch.written(rows.select(*leaf, "doc", tokens(text).alias("n_tokens")), "tokens").where("n_tokens > 0")
     totals = narrow.groupBy(*leaf).agg(F.sum("n_tokens").alias("held"))
     limit = plan.most_leaves if isinstance(plan, Plan) else Plan(0).most_leaves
     found = totals.limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} leaves: this tree is planned on the driver")
-    held = {(r.domain, r._lang, r._source): r.held for r in found}
+    held = {(r.domain, r.lang, r.source): r.held for r in found}
     if callable(plan):
         plan = plan(sum(held.values()))
     shares = budgets(held, plan)
     leaves = spark.createDataFrame(
         [(*k, int(shares[k]), min(plan.epochs, -(-int(shares[k]) // held[k]))) for k in sorted(held) if int(shares[k]) > 0],
-        T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("leaf_budget", T.LongType()), T.StructField("_epochs", T.LongType())]),
+        T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("leaf_budget", T.LongType()), T.StructField("epochs", T.LongType())]),
     )
 
     def keyed(df: DataFrame) -> DataFrame:
         """Rows of the leaves that have a budget, once an epoch, with their place in the epoch's order."""
-        every = df.join(F.broadcast(leaves), leaf).withColumn("epoch", F.explode(F.expr("sequence(0, cast(_epochs as int) - 1)")))
-        every = every.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        return every.withColumn("_bucket", (F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * plan.buckets / (1 << 24)).cast("int"))
+        every = df.join(F.broadcast(leaves), leaf).withColumn("epoch", F.explode(F.expr("sequence(0, cast(epochs as int) - 1)")))
+        every = every.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(plan.seed)), "epoch", "doc")))
+        return every.withColumn("bucket", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * plan.buckets / (1 << 24)).cast("int"))
 
     # one row a leaf: the bucket in which its budget runs out, and the tokens before that bucket
-    order = Window.partitionBy(*leaf).orderBy("epoch", "_bucket")
-    sums = keyed(narrow).groupBy(*leaf, "leaf_budget", "epoch", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    runs = sums.withColumn("_end", F.sum("_sum").over(order)).withColumn("_start", F.col("_end") - F.col("_sum"))
-    cuts = runs.where("_start < leaf_budget and _end >= leaf_budget").select(*leaf, F.col("epoch").alias("_cut_epoch"), F.col("_bucket").alias("_cut_bucket"), "_start").collect()
-    shape = T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("_cut_epoch", T.IntegerType()), T.StructField("_cut_bucket", T.IntegerType()), T.StructField("_start", T.LongType())])
+    order = Window.partitionBy(*leaf).orderBy("epoch", "bucket")
+    sums = keyed(narrow).groupBy(*leaf, "leaf_budget", "epoch", "bucket").agg(F.sum("n_tokens").alias("held"))
+    runs = sums.withColumn("end", F.sum("held").over(order)).withColumn("start", F.col("end") - F.col("held"))
+    cuts = runs.where("start < leaf_budget and end >= leaf_budget").select(*leaf, F.col("epoch").alias("cut_epoch"), F.col("bucket").alias("cut_bucket"), "start").collect()
+    shape = T.StructType([*(T.StructField(c, T.StringType()) for c in leaf), T.StructField("cut_epoch", T.IntegerType()), T.StructField("cut_bucket", T.IntegerType()), T.StructField("start", T.LongType())])
     placed = keyed(rows).join(F.broadcast(spark.createDataFrame(cuts, shape)), leaf, "left")
-    cut_epoch = F.coalesce("_cut_epoch", F.lit(1 << 30))
-    count = tokens(F.col("text").cast("string"))
-    whole = placed.where((F.col("epoch") < cut_epoch) | ((F.col("epoch") == cut_epoch) & (F.col("_bucket") < F.col("_cut_bucket")))).withColumn("n_tokens", count)
-    part = placed.where((F.col("epoch") == cut_epoch) & (F.col("_bucket") == F.col("_cut_bucket"))).withColumn("n_tokens", count)
-    inside = Window.partitionBy(*leaf).orderBy("_key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_before", F.col("_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_before < leaf_budget")
-    out = [*docs.columns, "domain", "epoch", "n_tokens", "leaf_budget"]
-    return whole.select(*out).where("n_tokens > 0").unionByName(part.select(*out).where("n_tokens > 0"))
+    cut_epoch = F.coalesce("cut_epoch", F.lit(1 << 30))
+    whole = placed.where((F.col("epoch") < cut_epoch) | ((F.col("epoch") == cut_epoch) & (F.col("bucket") < F.col("cut_bucket")))).withColumn("n_tokens", tokens(text))
+    part = placed.where((F.col("epoch") == cut_epoch) & (F.col("bucket") == F.col("cut_bucket"))).withColumn("n_tokens", tokens(text))
+    inside = Window.partitionBy(*leaf).orderBy("key", at["doc_id"], F.xxhash64(at["text"])).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("before", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("before < leaf_budget")
+    out = [*(F.col(u).alias(c) for u, c in zip(own, names, strict=True)), "domain", "epoch", "n_tokens", "leaf_budget"]
+    return whole.where("n_tokens > 0").select(*out).union(part.where("n_tokens > 0").select(*out))
