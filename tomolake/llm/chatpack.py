@@ -8,14 +8,16 @@ A pack holds one tree (or part of one): its tokens, each turn's once; position i
 that count from the root along a token's own path; the loss mask (assistant texts);
 and for each node the intervals of the pack, its ancestors', that its tokens may
 attend to besides the tokens before them in their own node. A pack ends with its
-root, or beyond ``most_tokens``; a conversation that goes on in a new pack takes its
-ancestors with it. Equal conversations are one path with several members, so a
+root, or beyond ``most_tokens``, or with its task's range of the sorted rows; a
+conversation that goes on in a new pack takes its ancestors with it, so turns are
+emitted once a pack. Equal conversations are one path with several members, so a
 conversation that a third of the rows repeat is one row here.
 
 Defined cases: null texts and roles are empty; rows of one conversation with equal
-``turn`` go by role and text; repeated rows are turns of their own; rows without a
-``conv_id`` form one conversation; an empty table gives no packs; extra columns are
-ignored.
+``turn`` go by role and text, those without one come first; repeated rows are turns of
+their own; a row without a ``conv_id`` is a conversation of its own, of one turn; very
+long texts are one node, whose pack ends with it; conversations with equal turns are
+one path wherever they lie; an empty table gives no packs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,7 +166,9 @@ def _packed(vocabulary: str | None, most_tokens: int):
 def conversations_of(rows: DataFrame) -> DataFrame:
     """(conv_id, turns, digest): each conversation's turns in order, and a digest of them."""
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = rows.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("rows"))
+    each = rows.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one"))
+    whole = each.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("rows"))
+    whole = whole.unionByName(each.where("conv_id is null").select("conv_id", F.array("one").alias("rows")))
     turns = whole.select("conv_id", F.transform("rows", lambda r: F.struct(r.role.alias("role"), r.text.alias("text"))).alias("turns"))
     return turns.withColumn("digest", F.sha2(F.to_json("turns"), 256))
 
@@ -172,9 +176,7 @@ def conversations_of(rows: DataFrame) -> DataFrame:
 def pack(conversations: DataFrame, vocabulary: str | None = None, most_tokens: int = 65_536) -> tuple[DataFrame, DataFrame]:
     """(packs, members): the packs, and (conv_id, digest) of each conversation; ``leaf_digest`` names the paths that end at ``leaf_node``."""
     convs = scratch.written(conversations_of(conversations), "conversations")
-    once = convs.groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    # one representative of each digest; an id of null stands for itself
-    paths = convs.join(once.select(F.col("digest").alias("d"), F.col("conv_id").alias("c")), (F.col("digest") == F.col("d")) & F.col("conv_id").eqNullSafe(F.col("c"))).select("digest", "turns")
+    paths = convs.select("digest", "turns").dropDuplicates(["digest"])  # copies go within each task first
     keyed = paths.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t.role, t.text)))
     n = scratch.partitions(convs.sparkSession)
     packs = keyed.repartitionByRange(n, "path", "digest").sortWithinPartitions("path", "digest").select("digest", "turns").mapInArrow(_packed(vocabulary, most_tokens), PACK_DDL)
