@@ -5,11 +5,15 @@ task, so its work has a bound. A shard's graph is hierarchical: each node has a
 drawn geometrically; on every layer nodes are inserted in turn, linked to diverse
 near neighbours among those before (a neighbour is skipped when one already chosen
 is nearer to it), with links back; lists that overflow are thinned by the same rule.
+The candidates of an insertion are the nearest nodes themselves, by products of
+blocks of the shard: at a shard's size that is cheaper than to search the graph for
+them, and no candidate is missed.
 The index is a row per shard of flat arrays. Vectors of unequal length get one more
 coordinate that makes all norms equal, which turns inner product into nearness.
 
-Queries are dealt to blocks; each (shard, block) descends the layers and widens to a
-beam of ``ef``, many queries in step. Scores are recomputed in double precision from
+Queries are dealt to blocks as large as a shard, so that a shard's copies for further
+blocks weigh no more than the queries that it must meet anyway; each (shard, block)
+descends the layers and widens to a beam of ``ef``, many queries in step. Scores are recomputed in double precision from
 the original vectors, and the shards' best are merged.
 
 Equal vectors are one node that carries its smallest ids (one more than ``k``), so a
@@ -17,8 +21,8 @@ vector that a third of all rows repeat neither fills a task nor bends the graph.
 
 Defined cases: null, empty or zero vectors and ones with null or non-finite parts
 take no part; vectors of different dimension do not meet; null ids take no part;
-repeated ids count once per vector; ties go to the smaller id; an empty table gives
-an empty table; extra columns are ignored.
+repeated ids count once per vector; ties go to the smaller id; vectors are read at
+any length; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ class Graph:
     candidates: int = 64
     ef: int = 160
     shard_rows: int = 8192
-    block_rows: int = 2048
+    block_rows: int = 8192
     step: int = 256  # queries in step
     seed: int = 3
 
@@ -230,25 +234,28 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 def nearest(vectors: DataFrame, queries, k: int = 20, g: Graph = Graph(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which the condition ``queries`` on vec_id holds; a row is no neighbour of itself."""
     spark = vectors.sparkSession
-    all_rows = scratch.written(usable(vectors, id_col, vec_col), "vectors")
-    by_vec = Window.partitionBy("vec").orderBy("vec_id")
+    # equal vectors are found by 128 bits of hash, so that no array is compared or sorted
+    same = ["k1", "k2"]
+    marked = usable(vectors, id_col, vec_col).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), "vec"))
+    all_rows = scratch.written(marked, "vectors")
+    by_vec = Window.partitionBy(*same).orderBy("vec_id")
     # the limit on row_number is applied before the shuffle too, so copies do not travel
     few = all_rows.withColumn("_n", F.row_number().over(by_vec)).where(F.col("_n") <= k + 1)
-    once = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("first_id", F.col("ids")[0]).withColumn("dim", F.size("vec"))
+    once = few.groupBy(*same).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vec").alias("vec")).withColumn("first_id", F.col("ids")[0]).withColumn("dim", F.size("vec"))
     once = scratch.written(once, "distinct-vectors")
     shards = max(1, -(-once.count() // g.shard_rows))
     index = scratch.written(
-        once.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(_built(g), _INDEX), "hnsw"
+        once.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(_built(g), _INDEX), "hnsw"
     )
-    asked = scratch.written(all_rows.where(queries).groupBy("vec").agg(F.min("vec_id").alias("asked")).withColumn("dim", F.size("vec")), "asked")
+    asked = scratch.written(all_rows.where(queries).groupBy(*same).agg(F.min("vec_id").alias("asked"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")), "asked")
     blocks = max(1, -(-asked.count() // g.block_rows))
-    to_shards = asked.withColumn("block", F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    to_shards = asked.select("dim", "asked", "vec", F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     to_blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "shard", "block"]
     found = to_shards.groupBy(*key).cogroup(to_blocks.groupBy(*key)).applyInPandas(_found(k + 1, g), "asked long, vec_id long, score double")
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
-    who = all_rows.where(queries).select(F.col("vec_id").alias("query_id"), "vec").join(asked.select(F.col("vec").alias("v"), "asked"), F.col("vec") == F.col("v")).select("query_id", "asked")
+    who = all_rows.where(queries).select(F.col("vec_id").alias("query_id"), *same).join(asked.select(*same, "asked"), same).select("query_id", "asked")
     rows = who.join(merged, "asked").where("query_id <> vec_id")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
