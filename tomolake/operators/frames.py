@@ -1,4 +1,4 @@
-"""Relational operators of the metadata plane: DataFrame in, DataFrame out, no action inside."""
+"""Relational operators of the metadata plane: DataFrame in, DataFrame out; ``with_position`` and ``label_columns`` run small jobs of their own."""
 
 from __future__ import annotations
 
@@ -16,18 +16,27 @@ SUBJECT, OBS = "obs_subject_id", "obs_id"
 # -- positions --------------------------------------------------------------------------------
 
 
-def with_position(df: DataFrame, *keys: str, name: str = "pos", sample: int = 1000) -> DataFrame:
+MOST_RUNS = 1024
+
+
+def run_bounds(df: DataFrame, key: str) -> list:
+    """Where ``with_position`` cuts: quantiles of a sample of the keys that grows with the number of partitions."""
+    n = min(MOST_RUNS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seen = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(max(1000, 20 * n))
+    found = sorted({r.k for r in seen.collect()})
+    n = max(1, min(n, len(found) // 2))  # few keys give few runs, not one
+    return sorted({found[len(found) * i // n] for i in range(1, n)})
+
+
+def with_position(df: DataFrame, *keys: str, name: str = "pos") -> DataFrame:
     """``df`` with root positions from 0 in the order of ``keys`` (unique).
 
-    Rows are cut into runs at quantiles of the first key (of a small sample of fixed hash order), runs are
+    Rows are cut into runs at quantiles of the first key (of a sample in fixed hash order), runs are
     counted, and positions are added up from the counts before and the place within the run: no task holds
     all rows, as it would under a window without partitions. Runs are a function of the row alone, so both
     uses of ``df`` agree however the plan is executed.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = df.select(F.col(keys[0]).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(sample)
-    found = sorted({r.k for r in seen.collect()})
-    bounds = sorted({found[len(found) * i // n] for i in range(1, n)}) if len(found) >= 2 * n else []
+    bounds = run_bounds(df, keys[0])
     kind = df.schema[keys[0]].dataType
     run = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= F.col(keys[0]))) if bounds else F.lit(0)
     cut = df.withColumn("_run", F.when(F.col(keys[0]).isNull(), -1).otherwise(run))
@@ -38,8 +47,28 @@ def with_position(df: DataFrame, *keys: str, name: str = "pos", sample: int = 10
     return placed.withColumn(name, (F.col("_before") + local - 1).cast("long")).drop("_run", "_before")
 
 
-def at_positions(df: DataFrame, positions: Sequence[int], *keys: str) -> DataFrame:
-    return with_position(df, *keys).where(F.col("pos").isin([int(p) for p in positions]))
+#: isin() lists up to this many values; longer lists become a join.
+MOST_LITERALS = 1000
+
+
+def of_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """Rows whose column is one of the values."""
+    values = list(dict.fromkeys(values))
+    if len(values) <= MOST_LITERALS:
+        return df.where(F.col(column).isin(values))
+    kind = df.schema[column].dataType.simpleString()
+    return keep_keys(df, df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {kind}"), column)
+
+
+def at_places(df: DataFrame, places: Sequence[int], *keys: str) -> DataFrame:
+    """Rows at these places of the order of ``keys``: a range where they are one, else a list or a join."""
+    places = [int(p) for p in places]
+    if not places:
+        return df.limit(0)
+    placed = with_position(df, *keys)
+    if places == list(range(places[0], places[-1] + 1)):
+        return placed.where((F.col("pos") >= places[0]) & (F.col("pos") <= places[-1])).drop("pos")
+    return of_values(placed, "pos", places).drop("pos")
 
 
 def head(df: DataFrame, n: int, *keys: str) -> DataFrame:

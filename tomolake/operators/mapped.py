@@ -2,12 +2,14 @@
 
 A function takes (volume array, obs row) and returns a value or (value, updates);
 updates are new columns, and the next function sees them. Composed functions run in
-one ``applyInPandas`` stage, one volume at a time; filters act before it.
+one stage over a stream of sorted tiles, one volume at a time; filters act before it.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -58,31 +60,51 @@ def unpacked(row) -> object:
     return pickle.loads(row["payload"])
 
 
-def assembled(pdf: pd.DataFrame) -> np.ndarray:
-    """A whole volume from its tile rows (with ``shape``)."""
-    shape = [int(x) for x in pdf["shape"].iloc[0]]
-    return voxels.assemble(pdf.to_dict("records"), tuple((0, n) for n in shape), pdf["dtype"].iloc[0])
+RESULT_COLUMNS = [c.split()[0] for c in RESULT_DDL.split(", ")]
 
 
-def _with_tiles(vs: VolumeSet) -> DataFrame:
-    """Tiles with their volume's obs row (as JSON) and shape."""
-    obs = vs.obs
-    row = F.to_json(F.struct(*obs.columns), {"ignoreNullFields": "false"}).alias("_row")
-    heads = vs.headers.select(OBS, "shape")
-    return vs.tiles.join(heads, OBS).join(obs.select(OBS, F.col(SUBJECT).cast("string").alias("_subject"), row), OBS)
+def _row_json(vs: VolumeSet):
+    return F.to_json(F.struct(*vs.obs.columns), {"ignoreNullFields": "false"})
 
 
-def _apply(vs: VolumeSet, fns: Sequence[Callable]) -> DataFrame:
-    import json
+def _with_rows(vs: VolumeSet) -> DataFrame:
+    """Tiles, and for each volume one row more that holds its obs row (as JSON) and its number of axes."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in vs.tiles.schema.fields if f.name != OBS]
+    obs = vs.obs.select(OBS, _row_json(vs).alias("_row")).join(vs.headers.select(OBS, F.size("shape").alias("_axes")), OBS)
+    rows = obs.select(OBS, *empty, "_row", "_axes")
+    return vs.tiles.withColumn("_row", F.lit(None).cast("string")).withColumn("_axes", F.lit(None).cast("int")).unionByName(rows)
+
+
+def _volume(rows: list[dict]) -> tuple[np.ndarray, dict] | None:
+    """(array, obs row) of a volume's rows as ``_with_rows`` gives them."""
+    head = next((r for r in rows if r["_row"] is not None), None)
+    tiles = [r for r in rows if r["_row"] is None]
+    if head is None or not tiles:
+        return None
+    a = voxels.assembled(tiles)
+    return a.reshape(a.shape[: head["_axes"]]), json.loads(head["_row"])
 
+
+def _apply(vs: VolumeSet, fns: Sequence[Callable]) -> DataFrame:
     run = composed(fns)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = json.loads(pdf["_row"].iloc[0])
-        value, updates = run(assembled(pdf), row)
-        return pd.DataFrame([_packed(pdf[OBS].iloc[0], pdf["_subject"].iloc[0], value, updates)], columns=[c.split()[0] for c in RESULT_DDL.split(", ")])
+    def each(batches):
+        import pyarrow as pa
+
+        for rows in voxels.streamed(batches):
+            if (found := _volume(rows)) is not None:
+                a, row = found
+                value, updates = run(a, row)
+                packed = _packed(rows[0][OBS], None if row[SUBJECT] is None else str(row[SUBJECT]), value, updates)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(packed, _result_types(), strict=True)], names=RESULT_COLUMNS)
 
-    return _with_tiles(vs).groupBy(OBS).applyInPandas(one, RESULT_DDL)
+    return voxels.by_volume(_with_rows(vs)).mapInArrow(each, RESULT_DDL)
+
+
+def _result_types() -> list:
+    import pyarrow as pa
+
+    return [pa.string()] * 4 + [pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
 
 @dataclass(frozen=True)
@@ -95,7 +117,7 @@ class LazySet:
     source: VolumeSet
     exprs: tuple[str, ...] = ()
     subjects: frozenset[str] | None = None
-    ids: frozenset[str] | None = None
+    views: tuple[VolumeSet, ...] = ()
     fns: tuple[Callable, ...] = ()
 
     def filter(self, expr: str) -> LazySet:
@@ -105,14 +127,14 @@ class LazySet:
     def filter_subjects(self, ids: Sequence[str]) -> LazySet:
         return replace(self, subjects=frozenset(ids) if self.subjects is None else self.subjects & frozenset(ids))
 
-    def _with_ids(self, ids) -> LazySet:
-        return replace(self, ids=frozenset(ids) if self.ids is None else self.ids & frozenset(ids))
+    def _within(self, view: VolumeSet) -> LazySet:
+        return replace(self, views=(*self.views, view))
 
     @property
     def iloc(self):
         from tomolake.operators.study import _Select
 
-        return _Select(lambda key: self._with_ids(self.source.index.take(positions(key, len(self.source.index))).to_list()))
+        return _Select(lambda key: self._within(self.source.at(positions(key, len(self.source)))))
 
     @property
     def loc(self):
@@ -120,21 +142,23 @@ class LazySet:
 
         def pick(key):
             ids = [key] if isinstance(key, str) else list(key)
-            if missing := [i for i in ids if i not in self.source.index][:5]:
+            have = self.source._present(ids)
+            if missing := [i for i in ids if i not in have][:5]:
                 raise KeyError(missing)
-            return self._with_ids(ids)
+            return self._within(self.source._of_ids(ids))
 
         return _Select(pick)
 
     def head(self, n: int = 5) -> LazySet:
-        return self._with_ids(self.source.index.to_list()[: max(0, n)])
+        return self._within(self.source.head(n))
 
     def tail(self, n: int = 5) -> LazySet:
-        return self._with_ids(self.source.index.to_list()[-n:] if n > 0 else [])
+        return self._within(self.source.tail(n))
 
     def sample(self, n: int = 5, seed: int | None = None) -> LazySet:
-        have = sorted(self.resolve().index)
-        return self._with_ids(have[p] for p in frames.sample_positions(len(have), n, seed))
+        """Of those that pass so far, in the order of their ids."""
+        obs = self.to_obs()
+        return self._within(self.source._view(frames.at_places(obs, frames.sample_positions(obs.count(), n, seed), OBS)))
 
     def map(self, fn: Callable) -> LazySet:
         return replace(self, fns=(*self.fns, fn))
@@ -145,9 +169,9 @@ class LazySet:
         for e in self.exprs:
             obs = obs.where(predicate(e, obs.columns))
         if self.subjects is not None:
-            obs = obs.where(F.col(SUBJECT).isin(sorted(self.subjects)))
-        if self.ids is not None:
-            obs = obs.where(F.col(OBS).isin(sorted(self.ids)))
+            obs = frames.of_values(obs, SUBJECT, sorted(self.subjects))
+        for view in self.views:
+            obs = frames.keep_keys(obs, view.obs.select(OBS), OBS)
         return self.source._view(obs)
 
     def to_obs(self) -> DataFrame:
@@ -167,7 +191,7 @@ class LazySet:
     def run(self) -> MappedSet:
         """The results, written next to nothing yet: cached when first used."""
         vs = self.resolve()
-        return MappedSet(vs, _apply(vs, self.fns).persist(), self.fns)
+        return MappedSet(vs, _held(_apply(vs, self.fns)), self.fns)
 
     def write(self, uri: str | None = None, name: str | None = None) -> VolumeSet:
         vs = self.resolve()
@@ -176,6 +200,20 @@ class LazySet:
         return MappedSet(vs, _apply(vs, self.fns), self.fns).write(uri, name)
 
 
+def _release(jdf) -> None:
+    try:
+        jdf.unpersist(False)
+    except Exception:  # the session may be gone
+        pass
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` cached until nothing on the driver refers to it any more."""
+    df.persist()
+    weakref.finalize(df, _release, df._jdf)
+    return df
+
+
 @dataclass(frozen=True)
 class MappedSet:
     """Results of a map, one row a volume."""
@@ -187,20 +225,18 @@ class MappedSet:
     def map(self, fn: Callable) -> MappedSet:
         """Another function on the results; it sees the updates so far."""
         source = self.source
-        rows = source.obs.select(OBS, F.to_json(F.struct(*source.obs.columns), {"ignoreNullFields": "false"}).alias("_row"))
+        rows = source.obs.select(OBS, _row_json(source).alias("_row"))
 
         def run(pdfs):
-            import json
-
             for pdf in pdfs:
                 out = []
                 for r in pdf.to_dict("records"):
                     old = pickle.loads(r["updates"])
                     value, new = composed([fn])(unpacked(r), json.loads(r["_row"]) | old)
                     out.append(_packed(r[OBS], r[SUBJECT], value, old | new))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT_DDL.split(", ")])
+                yield pd.DataFrame(out, columns=RESULT_COLUMNS)
 
-        return MappedSet(source, self.results.join(rows, OBS).mapInPandas(run, RESULT_DDL).persist(), (*self.fns, fn))
+        return MappedSet(source, _held(self.results.join(rows, OBS).mapInPandas(run, RESULT_DDL)), (*self.fns, fn))
 
     def _rows(self) -> Iterator[dict]:
         return (r.asDict() for r in self.results.orderBy(SUBJECT, OBS).toLocalIterator())
@@ -219,13 +255,17 @@ class MappedSet:
 
     def to_dataframe(self, columns: Sequence[str] | None = None) -> DataFrame:
         """Ids, the updates as typed columns, and ``result``: shape and type of arrays, else a short text."""
-        rows = []
-        for r in self._rows():
-            rows.append({SUBJECT: r[SUBJECT], OBS: r[OBS]} | pickle.loads(r["updates"]) | {"result": result_summary(unpacked(r))})
-        pdf = pd.DataFrame(rows, columns=None if rows else [SUBJECT, OBS, "result"])
-        if rows:
-            pdf = pdf[[SUBJECT, OBS, *(c for c in pdf.columns if c not in (SUBJECT, OBS, "result")), "result"]]
-        df = self.source.spark.createDataFrame(pdf) if rows else self.source.spark.createDataFrame([], f"{SUBJECT} string, {OBS} string, result string")
+        kinds = {k: t for k, t in self.update_kinds().items() if k not in (SUBJECT, OBS, "result")}
+
+        def run(pdfs):
+            for pdf in pdfs:
+                out = []
+                for r in pdf.to_dict("records"):
+                    u = pickle.loads(r["updates"])
+                    out.append((r[SUBJECT], r[OBS], *(_cast(u.get(k), t) for k, t in kinds.items()), result_summary(unpacked(r))))
+                yield pd.DataFrame(out, columns=[SUBJECT, OBS, *kinds, "result"], dtype=object)
+
+        df = self.results.mapInPandas(run, ", ".join([f"{SUBJECT} string, {OBS} string", *(f"`{k}` {t}" for k, t in kinds.items()), "result string"])).orderBy(SUBJECT, OBS)
         return df.select(*columns) if columns else df
 
     def _repr_html_(self) -> str:
@@ -278,12 +318,11 @@ class MappedSet:
                 yield pd.DataFrame(rows, columns=["obs_id", "shape", "dtype", "tile", "meta"])
 
         def updates(pdfs):
-            cast = {"bigint": int, "double": float, "boolean": bool, "string": str}
             for pdf in pdfs:
                 rows = []
                 for old, new, u in zip(pdf[OBS], pdf["new_id"], pdf["updates"], strict=True):
                     u = pickle.loads(u)
-                    rows.append((old, new, *(None if u.get(k) is None else cast[t](u[k]) for k, t in kinds.items())))
+                    rows.append((old, new, *(_cast(u.get(k), t) for k, t in kinds.items())))
                 yield pd.DataFrame(rows, columns=["_old", "_new", *(f"_u_{k}" for k in kinds)], dtype=object)
 
         tiles = write_tiles(keyed.mapInPandas(cut, voxels.TILE_DDL), uri)
@@ -297,25 +336,32 @@ class MappedSet:
         return VolumeSet(spark, uri)
 
 
+def _cast(value, kind: str):
+    return None if value is None else {"bigint": int, "double": float, "boolean": bool, "string": str}[kind](value)
+
+
 def run_batches(vs: VolumeSet, fn: Callable, batch_size: int = 8) -> MappedSet:
     """``fn`` on lists of (array, row), ``batch_size`` volumes in canonical order each; returns a value a volume."""
-    import json
-
     if batch_size < 1:
         raise ValueError("batch_size is at least 1")
     placed = frames.with_position(vs.obs.select(OBS, SUBJECT), SUBJECT, OBS).select(OBS, "pos", F.floor(F.col("pos") / batch_size).alias("_batch"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [(p["pos"].iloc[0], k, p["_subject"].iloc[0], assembled(p), json.loads(p["_row"].iloc[0])) for k, p in pdf.groupby(OBS)]
-        items.sort(key=lambda x: x[0])
-        out = fn([(a, row) for *_, a, row in items])
-        if len(out) != len(items):
-            raise ValueError(f"a batch function returned {len(out)} results for {len(items)} volumes")
-        rows = []
-        for (_, k, s, _, _), v in zip(items, out, strict=True):
-            value, updates = v if isinstance(v, tuple) and len(v) == 2 and isinstance(v[1], dict) else (v, {})
-            rows.append(_packed(k, s, value, updates))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT_DDL.split(", ")])
-
-    tiles = _with_tiles(vs).join(placed, OBS)
-    return MappedSet(vs, tiles.groupBy("_batch").applyInPandas(one, RESULT_DDL).persist(), (fn,))
+    def each(batches):
+        import pyarrow as pa
+
+        for rows in voxels.streamed(batches, "_batch"):
+            of: dict[str, list[dict]] = {}
+            for r in rows:
+                of.setdefault(r[OBS], []).append(r)
+            items = [(k, *found) for k, v in of.items() if (found := _volume(v)) is not None]
+            out = fn([(a, row) for _, a, row in items])
+            if len(out) != len(items):
+                raise ValueError(f"a batch function returned {len(out)} results for {len(items)} volumes")
+            packed = []
+            for (k, _, row), v in zip(items, out, strict=True):
+                value, updates = v if isinstance(v, tuple) and len(v) == 2 and isinstance(v[1], dict) else (v, {})
+                packed.append(_packed(k, None if row[SUBJECT] is None else str(row[SUBJECT]), value, updates))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*packed, strict=True), _result_types(), strict=True)], names=RESULT_COLUMNS)
+
+    tiles = _with_rows(vs).join(placed, OBS).repartition("_batch").sortWithinPartitions("_batch", "pos")
+    return MappedSet(vs, _held(tiles.mapInArrow(each, RESULT_DDL)), (fn,))

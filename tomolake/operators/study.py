@@ -15,7 +15,7 @@ from tomolake.operators import frames
 from tomolake.operators.frames import OBS, SUBJECT
 from tomolake.operators.index import KeyIndex, positions
 from tomolake.operators.volume import VolumeRef
-from tomolake.operators.volumeset import MOST_LITERALS, VolumeSet
+from tomolake.operators.volumeset import VolumeSet
 from tomolake.plans.predicate import predicate
 from tomolake.storage import Store, snapshot
 
@@ -133,24 +133,28 @@ class Study:
 
     def _of_ids(self, ids: Sequence[str]) -> Study:
         KeyIndex(ids)  # repeated subjects are an error
-        if len(ids) <= MOST_LITERALS:
-            return self._view(self.obs_meta.where(F.col(SUBJECT).isin(list(ids))))
-        return self._view(frames.keep_keys(self.obs_meta, self.spark.createDataFrame([(i,) for i in ids], f"{SUBJECT} string"), SUBJECT))
+        return self._view(frames.of_values(self.obs_meta, SUBJECT, ids))
+
+    def _at(self, places: Sequence[int]) -> Study:
+        KeyIndex(map(str, places))  # so are repeated places
+        return self._view(frames.at_places(self.obs_meta, places, SUBJECT))
 
     def filter(self, expr: str) -> Study:
         return self._view(self.obs_meta.where(predicate(expr, self.obs_meta.columns)))
 
     @property
     def iloc(self) -> _Select:
-        return _Select(lambda key: self._of_ids(self.index.take(positions(key, len(self.index))).to_list()))
+        return _Select(lambda key: self._at(positions(key, len(self))))
 
     @property
     def loc(self) -> _Select:
         def by_label(key):
             ids = [key] if isinstance(key, str) else list(key)
-            if missing := [i for i in ids if i not in self.index][:5]:
+            view = self._of_ids(ids)
+            have = set(self.index) if self._index is not None else {r[0] for r in view.obs_meta.select(SUBJECT).collect()}
+            if missing := [i for i in ids if i not in have][:5]:
                 raise KeyError(missing)
-            return self._of_ids(ids)
+            return view
 
         return _Select(by_label)
 
@@ -165,13 +169,13 @@ class Study:
         return self.loc[subject]
 
     def head(self, n: int = 5) -> Study:
-        return self._of_ids(self.index.to_list()[: max(0, n)])
+        return self._view(frames.head(self.obs_meta, n, SUBJECT))
 
     def tail(self, n: int = 5) -> Study:
-        return self._of_ids(self.index.to_list()[-n:] if n > 0 else [])
+        return self._view(frames.tail(self.obs_meta, n, SUBJECT))
 
     def sample(self, n: int = 5, seed: int | None = None) -> Study:
-        return self._of_ids(self.index.take(frames.sample_positions(len(self.index), n, seed)).to_list())
+        return self._at(frames.sample_positions(len(self), n, seed))
 
     def select_collections(self, names: Sequence[str]) -> Study:
         if missing := [n for n in names if n not in self.collection_names]:
@@ -273,9 +277,8 @@ class Study:
             if SUBJECT not in new.columns:
                 raise SchemaError(f"{SUBJECT} is missing")
             new = frames.drop_keys(new, have.select(SUBJECT), SUBJECT)
-        known = {r[0] for r in have.select(SUBJECT).collect()} | ({r[0] for r in new.select(SUBJECT).collect()} if new is not None else set())
-        if missing := sorted({s for pairs, _ in resolved.values() for _, s in pairs} - known)[:5]:
-            raise AlignmentError(f"obs_meta has no rows for {missing}")
+        known = have.select(SUBJECT) if new is None else have.select(SUBJECT).unionByName(new.select(SUBJECT))
+        _check_known(known, {s for pairs, _ in resolved.values() for _, s in pairs})
         dirs = dict(self.manifest["collections"])
         for n, (pairs, fmt) in resolved.items():
             if n in dirs:
@@ -311,9 +314,7 @@ class Study:
             meta = spark.createDataFrame(obs_meta) if isinstance(obs_meta, pd.DataFrame) else obs_meta
             if SUBJECT not in meta.columns:
                 raise SchemaError(f"{SUBJECT} is missing")
-            known = {r[0] for r in meta.select(SUBJECT).collect()}
-            if missing := sorted(set(everyone) - known)[:5]:
-                raise AlignmentError(f"obs_meta has no rows for {missing}")
+            _check_known(meta, everyone)
         done = {}
         for n, (pairs, fmt) in resolved.items():
             rel = f"collections/{n}-{uuid.uuid4().hex[:8]}"
@@ -344,6 +345,15 @@ class Study:
         return cls(spark, uri)
 
 
+def _check_known(meta: DataFrame, subjects) -> None:
+    """Every subject has a row in ``meta``: an anti-join, so that the table stays where it is."""
+    if not subjects:
+        return
+    wanted = meta.sparkSession.createDataFrame([(s,) for s in sorted(subjects)], f"{SUBJECT} string")
+    if missing := frames.drop_keys(wanted, meta.select(SUBJECT), SUBJECT).orderBy(SUBJECT).limit(5).collect():
+        raise AlignmentError(f"obs_meta has no rows for {[r[0] for r in missing]}")
+
+
 class _Select:
     def __init__(self, pick):
         self.pick = pick

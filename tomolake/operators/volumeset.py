@@ -7,6 +7,7 @@ against the root, so views of views stay flat.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from urllib.parse import urlparse
 
@@ -16,33 +17,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomolake.config import SliceOrientation, get_config
-from tomolake.errors import AlignmentError, ShapeError, StorageError, ViewError
+from tomolake.errors import AlignmentError, SchemaError, ShapeError, StorageError, ViewError
 from tomolake.functions.naming import adjacent_uri, generate_obs_id
 from tomolake.operators import frames, voxels
 from tomolake.operators.frames import OBS, SUBJECT
 from tomolake.operators.index import KeyIndex, positions
-from tomolake.operators.volume import VolumeRef
+from tomolake.operators.volume import TileFiles, VolumeRef, codes
 from tomolake.plans.predicate import predicate
 from tomolake.storage import Store, snapshot
 
 HEADER_DDL = "obs_id string, shape array<int>, dtype string, tile array<int>, meta map<string,string>"
 MANIFEST = "_collection.json"
-#: isin() lists up to this many keys; longer ones become a join.
-MOST_LITERALS = 1000
 
+#: A row group holds about as many bytes of tiles, where tiles are smaller than that.
+GROUP_BYTES = 1 << 20
 
-def tile_options() -> dict[str, str]:
-    """Row limits that give Parquet a row group every few tiles and a page a tile, so that tile predicates prune."""
+
+def tile_options(tile_bytes: int | None = None) -> dict[str, str]:
+    """Row limits that give Parquet a row group every few tiles and a page a tile, so that tile predicates prune.
+
+    Small tiles go together up to ``GROUP_BYTES``, so that footers stay small beside the voxels.
+    """
     w = get_config().write
-    per_group = w.tiles_per_group or (1 if w.tile.orientation is SliceOrientation.ISOTROPIC else 4)  # cubes are large
+    usual = 1 if w.tile.orientation is SliceOrientation.ISOTROPIC else 4  # cubes are large
+    per_group = w.tiles_per_group or max(usual if not tile_bytes else 1, GROUP_BYTES // max(1, tile_bytes or GROUP_BYTES))
     return w.compression.options() | {
-        "parquet.block.row.count.limit": str(per_group), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1",
+        "parquet.block.row.count.limit": str(per_group), "parquet.page.row.count.limit": str(max(1, per_group // 64)), "parquet.page.size.row.check.min": "1",
     }
 
 
-def write_tiles(tiles: DataFrame, root: str) -> str:
+def write_tiles(tiles: DataFrame, root: str, tile_bytes: int | None = None) -> str:
     placed = tiles.repartitionByRange("obs_id").sortWithinPartitions("obs_id", "ct", "cz", "cy", "cx")
-    return snapshot(placed, root, "tiles", **tile_options())
+    return snapshot(placed, root, "tiles", **tile_options(tile_bytes))
 
 
 def retiled(rows: Iterable[tuple[str, np.ndarray]]) -> Iterator[tuple]:
@@ -57,9 +63,13 @@ def commit(spark: SparkSession, uri: str, name: str, obs: DataFrame, headers: Da
     obs_rel = snapshot(obs, uri, "obs")
     head_rel = snapshot(headers, uri, "volumes")
     stored = spark.read.parquet(f"{uri}/{head_rel}")
-    shapes = stored.groupBy(F.slice("shape", 1, 3).alias("s")).agg(F.count("*").alias("n")).limit(2).collect()
-    n = stored.count()
-    manifest = {"name": name, "shape": list(shapes[0].s) if len(shapes) == 1 else None, "n_volumes": n, "obs": obs_rel, "volumes": head_rel, "tiles": list(tile_dirs)} | (extra or {})
+    same = stored.agg(
+        F.count("*").alias("n"), F.min(F.slice("shape", 1, 3)).alias("s0"), F.max(F.slice("shape", 1, 3)).alias("s1"), F.min(F.slice("tile", 1, 3)).alias("t0"), F.max(F.slice("tile", 1, 3)).alias("t1")
+    ).first()
+    manifest = {
+        "name": name, "shape": list(same.s0) if same.n and same.s0 == same.s1 else None, "tile": list(same.t0) if same.n and same.t0 == same.t1 else None, "n_volumes": same.n,
+        "obs": obs_rel, "volumes": head_rel, "tiles": list(tile_dirs),
+    } | (extra or {})
     store.write_json(f"{uri}/{MANIFEST}", manifest)
     return manifest
 
@@ -71,7 +81,7 @@ class VolumeSet:
         self.name = name or self.manifest["name"]
         self._obs = obs
         self._index: KeyIndex | None = None
-        self._local: list | None = None
+        self._local: TileFiles | None = None
         self._headers: dict[str, dict] = {}
 
     # -- tables
@@ -81,17 +91,21 @@ class VolumeSet:
         u = urlparse(f"{self.uri}/{rel}")
         return u.path if u.scheme in ("", "file") and os.path.isdir(u.path) else None
 
-    def local_tiles(self) -> list | None:
-        """Arrow datasets of the tile snapshots, kept open (with their footers); None when the files are not local."""
+    def local_tiles(self) -> TileFiles | None:
+        """The tile files, kept open; None when this driver cannot open them."""
         if self._local is None:
-            import pyarrow.dataset as ds
-
             paths = [self._local_path(t) for t in self.manifest["tiles"]]
             if any(p is None for p in paths):
                 return None
-            self._local = [ds.dataset(p, format="parquet") for p in paths]
+            self._local = TileFiles(paths, [set(self._hidden.get(t, ())) for t in self.manifest["tiles"]])
         return self._local
 
+    def warm(self, obs_id: str) -> None:
+        """Reads what later reads of the volume need besides voxels."""
+        self.header_of(obs_id)
+        if (files := self.local_tiles()) is not None:
+            files.tiles_of(obs_id)
+
     def header_of(self, obs_id: str) -> dict:
         """A volume's header row; the last few thousand are remembered."""
         if obs_id not in self._headers:
@@ -137,7 +151,21 @@ class VolumeSet:
     def tiles(self) -> DataFrame:
         if not self.manifest["tiles"]:
             return self.spark.createDataFrame([], voxels.TILE_DDL)
-        return self._kept(self.spark.read.parquet(*self.tile_paths))
+        return self._kept(self._root_tiles())
+
+    @property
+    def _hidden(self) -> dict[str, list[str]]:
+        """Ids that a renaming has left behind, by tile directory."""
+        return self.manifest.get("hidden") or {}
+
+    def _root_tiles(self) -> DataFrame:
+        plain = [f"{self.uri}/{t}" for t in self.manifest["tiles"] if t not in self._hidden]
+        parts = [self.spark.read.parquet(*plain)] if plain else []
+        parts += [self.spark.read.parquet(f"{self.uri}/{t}").where(~F.col(OBS).isin(ids)) for t, ids in self._hidden.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def to_obs(self) -> DataFrame:
         return self.obs
@@ -159,6 +187,11 @@ class VolumeSet:
     def shape(self) -> tuple[int, ...] | None:
         return tuple(self.manifest["shape"]) if self.manifest.get("shape") else None
 
+    @property
+    def tile(self) -> tuple[int, ...] | None:
+        """The extents of all volumes' tiles, when they are the same."""
+        return tuple(self.manifest["tile"]) if self.manifest.get("tile") else None
+
     @property
     def is_uniform(self) -> bool:
         return self.shape is not None
@@ -170,7 +203,18 @@ class VolumeSet:
         return (VolumeRef(self, k) for k in self.index)
 
     def __contains__(self, obs_id: str) -> bool:
-        return obs_id in self.index
+        return bool(self._present([obs_id]))
+
+    def _present(self, ids: Sequence[str]) -> set[str]:
+        """Which of the ids there are: a point lookup, unless all keys are here already."""
+        if self._index is not None:
+            return {i for i in ids if i in self._index}
+        if not self.is_view and len(ids) == 1:
+            try:
+                return {self.header_of(ids[0])[OBS]}
+            except KeyError:
+                return set()
+        return {r[0] for r in self._of_ids(ids).obs.select(OBS).collect()}
 
     def __repr__(self) -> str:
         return f"VolumeSet({self.name!r}, {len(self)} volumes, shape={self.shape}{', view' if self.is_view else ''})"
@@ -181,10 +225,7 @@ class VolumeSet:
         return VolumeSet(self.spark, self.uri, self.name, obs)
 
     def _of_ids(self, ids: Sequence[str]) -> VolumeSet:
-        ids = list(dict.fromkeys(ids))
-        if len(ids) <= MOST_LITERALS:
-            return self._view(self.obs.where(F.col(OBS).isin(ids)))
-        return self._view(frames.keep_keys(self.obs, self.spark.createDataFrame([(i,) for i in ids], f"{OBS} string"), OBS))
+        return self._view(frames.of_values(self.obs, OBS, ids))
 
     def filter(self, expr: str) -> VolumeSet:
         return self._view(self.obs.where(predicate(expr, self.obs.columns)))
@@ -208,47 +249,56 @@ class VolumeSet:
         """A subject's only volume, or a view of several; KeyError when there is none."""
         wanted = [subject] if isinstance(subject, str) else list(subject)
         view = self._view(self.obs.where(F.col(SUBJECT).isin(wanted)))
-        ids = view.index.to_list()
+        ids = [r[0] for r in view.obs.select(OBS).limit(2).collect()]
         if not ids:
             raise KeyError(subject)
         return VolumeRef(self, ids[0]) if len(ids) == 1 and isinstance(subject, str) else view
 
     def head(self, n: int = 5) -> VolumeSet:
-        return self._of_ids(self.index.to_list()[: max(0, n)])
+        return self._view(frames.head(self.obs, n, SUBJECT, OBS))
 
     def tail(self, n: int = 5) -> VolumeSet:
-        return self._of_ids(self.index.to_list()[-n:] if n > 0 else [])
+        return self._view(frames.tail(self.obs, n, SUBJECT, OBS))
+
+    def at(self, places: Sequence[int]) -> VolumeSet:
+        """The volumes at these places of the canonical order, by a join on positions."""
+        return self._view(frames.at_places(self.obs, places, SUBJECT, OBS))
 
     def sample(self, n: int = 5, seed: int | None = None) -> VolumeSet:
-        return self._of_ids(self.index.take(frames.sample_positions(len(self.index), n, seed)).to_list())
+        return self.at(frames.sample_positions(len(self), n, seed))
 
     def groupby_subject(self) -> Iterator[tuple[str, VolumeSet]]:
+        """(subject, view) in canonical order: the ids are read once, each view is a filter on its own."""
         for s in self.subjects:
             yield s, self._view(self.obs.where(F.col(SUBJECT) == s))
 
+    def subject_counts(self) -> DataFrame:
+        """(obs_subject_id, n_volumes, first_obs, last_obs) in one aggregate: the batched form of ``groupby_subject``."""
+        return frames.volumes_of_subjects(self.obs, SUBJECT, OBS)
+
     def get_obs_row_by_obs_id(self, obs_id: str) -> pd.DataFrame:
         return self.obs.where(F.col(OBS) == obs_id).toPandas()
 
     def volume(self, obs_id: str) -> VolumeRef:
-        if obs_id not in self.index:
+        if obs_id not in self:
             raise KeyError(obs_id)
         return VolumeRef(self, obs_id)
 
     # -- batched voxel operators
 
     def slices(self, kind: str, at: int) -> DataFrame:
-        """One plane of every volume, as cut tiles (one scan, pruned to the tiles that meet the plane)."""
+        """One plane of every volume, as cut tiles (one scan, pruned to the tiles that meet the plane where all have the same extents)."""
         box = [(0, 1 << 30)] * 3
         box[voxels.AXES[kind]] = (at, at + 1)
-        return voxels.cropped(self.tiles, tuple(box))
+        return voxels.cropped(self.tiles, tuple(box), self.tile)
 
     def boxes(self, box: voxels.Box) -> DataFrame:
-        return voxels.cropped(self.tiles, box)
+        return voxels.cropped(self.tiles, box, self.tile)
 
     def statistics(self, percentiles: Sequence[float] = ()) -> DataFrame:
         return voxels.statistics(self.tiles, percentiles)
 
-    def histogram(self, bins: int, lo: float, hi: float) -> DataFrame:
+    def histogram(self, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
         return voxels.histogram(self.tiles, bins, lo, hi)
 
     def foreground(self) -> DataFrame:
@@ -302,7 +352,7 @@ class VolumeSet:
         if twice:
             raise AlignmentError(f"obs ids exist: {[r[0] for r in twice]}")
         tile_dirs = [*self.manifest["tiles"], write_tiles(tiles, self.uri)]
-        keep = {k: v for k, v in self.manifest.items() if k not in ("name", "shape", "n_volumes", "obs", "volumes", "tiles")}
+        keep = {k: v for k, v in self.manifest.items() if k not in ("name", "shape", "tile", "n_volumes", "obs", "volumes", "tiles")}
         self.manifest = commit(self.spark, self.uri, self.manifest["name"], frames.append(self.root_obs, obs), frames.append(self.headers, headers), tile_dirs, keep)
         self._index, self._local = None, None
         self._headers.clear()
@@ -316,9 +366,29 @@ class VolumeSet:
             raise ValueError("give niftis or dicoms")
         self._check_not_view("be appended to")
         fmt = "nifti" if niftis is not None else "dicom"
-        have = {r[0]: r[1] for r in self.root_obs.groupBy(SUBJECT).count().collect()}
+        mine = self.spark.createDataFrame([(s,) for s in dict.fromkeys(s for _, s in niftis or dicoms)], f"{SUBJECT} string")
+        have = {r[0]: r[1] for r in frames.keep_keys(self.root_obs, mine, SUBJECT).groupBy(SUBJECT).count().collect()}
         return self.append_rows(*ingest.ingested(self.spark, niftis or dicoms, self.name, fmt, reorient, have))
 
+    def rename_volume(self, old: str, new: str) -> None:
+        """One volume under another id: its tiles are written again, the other tile files stay; readers see all of it or nothing."""
+        self._check_not_view("be renamed in")
+        if old not in self:
+            raise KeyError(old)
+        if old == new:
+            return
+        if new in self:
+            raise AlignmentError(f"obs_id {new!r} exists")
+        renamed = F.when(F.col(OBS) == old, F.lit(new)).otherwise(F.col(OBS))
+        fresh = write_tiles(self.tiles.where(F.col(OBS) == old).withColumn(OBS, F.lit(new)), self.uri)
+        keep = {k: v for k, v in self.manifest.items() if k not in ("name", "shape", "tile", "n_volumes", "obs", "volumes", "tiles")}
+        hidden = {t: [*self._hidden.get(t, []), old] for t in self.manifest["tiles"]}
+        self.manifest = commit(
+            self.spark, self.uri, self.manifest["name"], self.root_obs.withColumn(OBS, renamed), self.headers.withColumn(OBS, renamed), [*self.manifest["tiles"], fresh], keep | {"hidden": hidden}
+        )
+        self._index, self._local = None, None
+        self._headers.clear()
+
     def validate(self) -> None:
         """obs and volumes pair one to one, tiles cover each volume, and the count is true."""
         obs, heads = self.root_obs.select(OBS), self.spark.read.parquet(f"{self.uri}/{self.manifest['volumes']}")
@@ -330,7 +400,7 @@ class VolumeSet:
         if heads.count() != self.manifest["n_volumes"]:
             raise AlignmentError(f"the manifest says {self.manifest['n_volumes']} volumes")
         size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
-        cover = self.spark.read.parquet(*self.tile_paths).groupBy(OBS).agg(F.sum(F.col("nx").cast("long") * F.col("ny") * F.col("nz") * F.col("nt")).alias("n")) if self.tile_paths else None
+        cover = self._root_tiles().groupBy(OBS).agg(F.sum(F.col("nx").cast("long") * F.col("ny") * F.col("nz") * F.col("nt")).alias("n")) if self.tile_paths else None
         if cover is not None and (bad := heads.select(OBS, size.alias("size")).join(cover, OBS, "left").where("n is null or n <> size").limit(5).collect()):
             raise AlignmentError(f"tiles do not cover {[r[0] for r in bad]}")
 
@@ -347,6 +417,30 @@ class VolumeSet:
                 w.write_volume(a, obs_id, subject, extra.get(obs_id))
         return cls(spark, uri)
 
+    @classmethod
+    def from_table(cls, spark: SparkSession, uri: str, df: DataFrame, array: str, shape: Sequence[int], name: str = "volumes") -> VolumeSet:
+        """A collection of a table's array column (C order): ``df`` has obs_subject_id and obs_id; its other columns become obs. No voxel passes the driver."""
+        uri, shape = uri.rstrip("/"), voxels.check_shape(shape)
+        if Store(spark).exists(f"{uri}/{MANIFEST}"):
+            raise StorageError(f"{uri} holds a collection")
+        if missing := [c for c in (SUBJECT, OBS, array) if c not in df.columns]:
+            raise SchemaError(f"columns {missing} are missing")
+        cfg = get_config().write.tile
+        extents, kind = cfg.extents(shape), {"float": "<f4", "double": "<f8", "int": "<i4", "smallint": "<i2", "tinyint": "|i1", "bigint": "<i8"}.get(df.schema[array].dataType.elementType.simpleString())
+        if kind is None:
+            raise SchemaError(f"{array} is no array of numbers")
+
+        def cut(pdfs):
+            for pdf in pdfs:
+                rows = [t for k, a in zip(pdf[OBS], pdf[array], strict=True) for t in voxels.tiles_of(k, np.asarray(a, kind).reshape(shape), extents)]
+                yield pd.DataFrame(rows, columns=voxels.TILE_COLUMNS)
+
+        one = lambda v: F.array(*(F.lit(int(x)) for x in v))
+        heads = df.select(OBS, one(shape).alias("shape"), F.lit(kind).alias("dtype"), one(extents).alias("tile"), F.create_map(F.lit("tile_orientation"), F.lit(cfg.orientation.value)).alias("meta"))
+        tiles = write_tiles(df.select(OBS, array).mapInPandas(cut, voxels.TILE_DDL), uri, int(np.prod(extents)) * np.dtype(kind).itemsize)
+        commit(spark, uri, name, df.select(SUBJECT, OBS, *(c for c in df.columns if c not in (SUBJECT, OBS, array))), heads, [tiles])
+        return cls(spark, uri)
+
     @classmethod
     def zeros(cls, spark: SparkSession, uri: str, subject: str, obs_id: str, shape: tuple[int, ...], dtype="float32", name: str = "volumes") -> VolumeSet:
         """A collection of one empty volume."""
@@ -388,7 +482,7 @@ class VolumeSet:
             affine = np.array(json.loads(meta["affine_json"])) if "affine_json" in meta else np.eye(4)
             os.makedirs(directory, exist_ok=True)
             path = os.path.join(directory, f"{first[OBS]}{suffix}")
-            write_nifti(path, a, affine, sform=int(meta.get("sform_code", 1)), qform=int(meta.get("qform_code", 0)), units=int(meta.get("xyzt_units", 2)))
+            write_nifti(path, a, affine, **codes(meta))
             return pd.DataFrame({OBS: [first[OBS]], "path": [path]})
 
         return self.tiles.join(heads, OBS).groupBy(OBS).applyInPandas(one, f"{OBS} string, path string")
@@ -414,10 +508,12 @@ class _ILoc:
         self.vs = vs
 
     def __getitem__(self, key):
-        at = positions(key, len(self.vs.index))
+        places = positions(key, len(self.vs))
         if isinstance(key, (int, np.integer)):
-            return VolumeRef(self.vs, self.vs.index.get_key(at[0]))
-        return self.vs._of_ids(self.vs.index.take(at).to_list())
+            return VolumeRef(self.vs, self.vs.at(places).obs.first()[OBS] if self.vs._index is None else self.vs._index.get_key(places[0]))
+        if twice := [k for k, n in Counter(places).items() if n > 1][:5]:
+            raise ValueError(f"positions are not unique: {twice}")
+        return self.vs.at(places)
 
 
 class _Loc:
@@ -426,7 +522,8 @@ class _Loc:
 
     def __getitem__(self, key):
         ids = [key] if isinstance(key, str) else list(key)
-        if missing := [i for i in ids if i not in self.vs.index][:5]:
+        have = self.vs._present(ids)
+        if missing := [i for i in ids if i not in have][:5]:
             raise KeyError(missing if not isinstance(key, str) else key)
         return VolumeRef(self.vs, key) if isinstance(key, str) else self.vs._of_ids(ids)
 

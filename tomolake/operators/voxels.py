@@ -122,30 +122,41 @@ def cropped(tiles: DataFrame, box: Box, extents: Sequence[int] | None = None) ->
     return tiles.select(*TILE_COLUMNS).mapInArrow(run, TILE_DDL)
 
 
-def whole(tiles: DataFrame) -> DataFrame:
-    """(obs_id, shape, dtype, voxels): volumes put together in a stream over sorted tiles; a task holds one volume at a time."""
+def streamed(batches, key: str = "obs_id") -> Iterator[list[dict]]:
+    """Rows that arrive sorted by ``key``, those of one key (a volume) at a time; voxels stay in Arrow's buffers."""
+    held: list[dict] = []
+    for batch in batches:
+        voxel = batch.column("voxels")
+        for k, r in enumerate(batch.drop_columns("voxels").to_pylist()):
+            if held and r[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(r | {"voxels": voxel[k].as_buffer()})
+    if held:
+        yield held
+
+
+def assembled(rows: list[dict]) -> np.ndarray:
+    """The whole volume of its tile rows, with as many axes as tiles show (4; the last one goes when it has one place)."""
+    shape = [max(r[o] + r[n] for r in rows) for o, n in (("x0", "nx"), ("y0", "ny"), ("z0", "nz"), ("t0", "nt"))]
+    return assemble(rows, tuple((0, n) for n in shape), rows[0]["dtype"])
 
-    def done(rows: list[dict]) -> dict:
-        shape = [max(r[o] + r[n] for r in rows) for o, n in (("x0", "nx"), ("y0", "ny"), ("z0", "nz"), ("t0", "nt"))]
-        a = assemble(rows, tuple((0, n) for n in shape), rows[0]["dtype"])
-        return {"obs_id": rows[0]["obs_id"], "shape": shape, "dtype": rows[0]["dtype"], "voxels": a.tobytes()}
 
+def by_volume(tiles: DataFrame) -> DataFrame:
+    """Tiles dealt out so that a task's rows come volume by volume: one shuffle of packed voxels, none of single ones."""
+    return tiles.repartition("obs_id").sortWithinPartitions("obs_id")
+
+
+def whole(tiles: DataFrame) -> DataFrame:
+    """(obs_id, shape, dtype, voxels): volumes put together in a stream over sorted tiles; a task holds one volume at a time."""
     schema = pa.schema([("obs_id", pa.string()), ("shape", pa.list_(pa.int32())), ("dtype", pa.string()), ("voxels", pa.binary())])
 
     def run(batches):
-        held: list[dict] = []
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if held and r["obs_id"] != held[0]["obs_id"]:
-                    out.append(done(held))
-                    held = []
-                held.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if held:
-            yield pa.RecordBatch.from_pylist([done(held)], schema=schema)
+        for rows in streamed(batches):
+            a = assembled(rows)
+            yield pa.RecordBatch.from_pylist([{"obs_id": rows[0]["obs_id"], "shape": list(a.shape), "dtype": rows[0]["dtype"], "voxels": a.tobytes()}], schema=schema)
 
-    return tiles.select(*TILE_COLUMNS).repartition("obs_id").sortWithinPartitions("obs_id").mapInArrow(run, "obs_id string, shape array<int>, dtype string, voxels binary")
+    return by_volume(tiles.select(*TILE_COLUMNS)).mapInArrow(run, "obs_id string, shape array<int>, dtype string, voxels binary")
 
 
 def values(tiles: DataFrame) -> DataFrame:
@@ -166,48 +177,57 @@ def values(tiles: DataFrame) -> DataFrame:
 def statistics(tiles: DataFrame, percentiles: Sequence[float] = ()) -> DataFrame:
     """(obs_id, n, mean, std, min, max, median, p..): population deviation; percentiles interpolate linearly.
 
-    Moments and extremes come from one partial row a tile; exact percentiles need
-    counts of values, which are combined per tile before they are shuffled.
+    Packed tiles are shuffled once by obs_id and a task takes one volume at a time, so no voxel is ever a row.
     """
+    names = ["n", "mean", "std", "min", "max", "median", *(f"p{int(p)}" for p in percentiles)]
+    schema = pa.schema([("obs_id", pa.string()), ("n", pa.int64()), *((c, pa.float64()) for c in names[1:])])
 
-    def partial(batches):
+    def run(batches):
+        for rows in streamed(batches):
+            v = np.concatenate([np.frombuffer(r["voxels"], np.dtype(r["dtype"])) for r in rows]).astype(float)
+            q = np.percentile(v, [50, *percentiles], overwrite_input=True)
+            one = [len(v), v.mean(), v.std(), v.min(), v.max(), *q]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["obs_id"]]), *(pa.array([x], f.type) for x, f in zip(one, schema.remove(0), strict=True))], schema=schema)
+
+    ddl = "obs_id string, n long, " + ", ".join(f"`{c}` double" for c in names[1:])
+    return by_volume(tiles.select("obs_id", "dtype", "voxels")).mapInArrow(run, ddl)
+
+
+def ranges(tiles: DataFrame) -> DataFrame:
+    """(obs_id, lo, hi): the least and the greatest voxel of each volume, combined from one row a tile."""
+
+    def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                v = np.frombuffer(r["voxels"], np.dtype(r["dtype"])).astype(float)
-                u, n = np.unique(v, return_counts=True)
-                rows.append((r["obs_id"], len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum()), float(v.min()), float(v.max()), u, n))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.string(), pa.int64(), *[pa.float64()] * 4, pa.list_(pa.float64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["obs_id", "n", "mu", "ss", "lo", "hi", "u", "k"])
-
-    ddl = "obs_id string, n long, mu double, ss double, lo double, hi double, u array<double>, k array<long>"
-    parts = tiles.select("obs_id", "dtype", "voxels").mapInArrow(partial, ddl)
-    total, first = F.sum("n"), F.sum(F.col("n") * F.col("mu"))
-    # sums of squares about zero lose digits; about each tile's mean they are combined exactly
-    moments = parts.groupBy("obs_id").agg(
-        total.alias("n"), (first / total).alias("mean"), F.sum("ss").alias("_ss"), F.sum(F.col("n") * F.col("mu") * F.col("mu")).alias("_q"), F.min("lo").alias("min"), F.max("hi").alias("max")
-    )
-    moments = moments.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), (F.col("_ss") + F.col("_q")) / F.col("n") - F.col("mean") * F.col("mean")))).drop("_ss", "_q")
-    counts = parts.select("obs_id", F.explode(F.arrays_zip("u", "k")).alias("p")).groupBy("obs_id", F.col("p.u").alias("u")).agg(F.sum("p.k").alias("k"))
-    wanted = [0.5, *(p / 100 for p in percentiles)]
-    ranks = counts.groupBy("obs_id").agg(F.percentile("u", F.array(*map(F.lit, wanted)), F.col("k")).alias("q"))
-    names = ["median", *(f"p{int(p)}" for p in percentiles)]
-    return moments.join(ranks, "obs_id").select("obs_id", "n", "mean", "std", "min", "max", *(F.col("q")[i].alias(x) for i, x in enumerate(names)))
-
-
-def histogram(tiles: DataFrame, bins: int, lo: float, hi: float) -> DataFrame:
-    """(obs_id, bin, lo, hi, n) with empty bins; the last bin is closed, values outside are dropped."""
+            rows = [(r["obs_id"], v.min(), v.max()) for r in batch.to_pylist() if len(v := np.frombuffer(r["voxels"], np.dtype(r["dtype"])))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([float(r[k]) for r in rows], pa.float64()) for k in (1, 2))], names=["obs_id", "lo", "hi"])
+
+    part = tiles.select("obs_id", "dtype", "voxels").mapInArrow(run, "obs_id string, lo double, hi double")
+    return part.groupBy("obs_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def histogram(tiles: DataFrame, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """(obs_id, bin, lo, hi, n) with empty bins; the last bin is closed, values outside are dropped.
+
+    Without a range each volume has its own, from its least to its greatest voxel (half a unit to both sides where they are equal).
+    """
+    if lo is None or hi is None:
+        own = ranges(tiles)
+        flat = F.col("lo") == F.col("hi")
+        own = own.select("obs_id", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+        tiles = tiles.select("obs_id", "dtype", "voxels").join(own, "obs_id")
+    else:
+        tiles = tiles.select("obs_id", "dtype", "voxels", F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
 
     def partial(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            counts = [np.histogram(np.frombuffer(r["voxels"], np.dtype(r["dtype"])), bins, (lo, hi))[0] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["obs_id"] for r in rows], pa.string()), pa.array(counts, pa.list_(pa.int64()))], names=["obs_id", "c"])
+            counts = [np.histogram(np.frombuffer(r["voxels"], np.dtype(r["dtype"])), bins, (r["lo"], r["hi"]))[0] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("obs_id"), batch.column("lo"), batch.column("hi"), pa.array(counts, pa.list_(pa.int64()))], names=["obs_id", "lo", "hi", "c"])
 
-    parts = tiles.select("obs_id", "dtype", "voxels").mapInArrow(partial, "obs_id string, c array<long>").select("obs_id", F.posexplode("c").alias("bin", "c"))
-    width = (hi - lo) / bins
-    return parts.groupBy("obs_id", "bin").agg(F.sum("c").alias("n")).select("obs_id", "bin", (F.lit(lo) + F.col("bin") * width).alias("lo"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("hi"), "n")
+    parts = tiles.mapInArrow(partial, "obs_id string, lo double, hi double, c array<long>").select("obs_id", "lo", "hi", F.posexplode("c").alias("bin", "c"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    total = parts.groupBy("obs_id", "lo", "hi", "bin").agg(F.sum("c").alias("n"))
+    return total.select("obs_id", "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
 def foreground(tiles: DataFrame) -> DataFrame:
@@ -236,10 +256,12 @@ def cells(df: DataFrame, key: str, array: str, shape: tuple[int, int, int]) -> D
 
 
 def cell_box(df: DataFrame, key: str, array: str, shape: tuple[int, int, int], box: Box) -> DataFrame:
-    c = cells(df, key, array, shape)
-    for name, (a, b) in zip("xyz", box, strict=True):
-        c = c.where((F.col(name) >= a) & (F.col(name) < b))
-    return c
+    """The cells of a box: its places in the array are picked before anything is exploded."""
+    _, ny, nz = shape
+    axes = [F.sequence(F.lit(a), F.lit(b - 1)) if b > a else F.array().cast("array<int>") for a, b in box]
+    place = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.get(array, x * (ny * nz) + y * nz + z).cast("double").alias("value"))
+    picked = F.flatten(F.flatten(F.transform(axes[0], lambda x: F.transform(axes[1], lambda y: F.transform(axes[2], lambda z: place(x, y, z))))))
+    return df.select(key, F.inline(picked))
 
 
 def plane(df: DataFrame, key: str, array: str, shape: tuple[int, int, int], kind: str, at: int) -> DataFrame:
@@ -272,8 +294,3 @@ def array_histogram(df: DataFrame, key: str, array: str, bins: int, lo: float, h
             )
         ).alias("h"),
     ).select(key, F.col("h.bin").alias("bin"), F.col("h.n").cast("long").alias("n"))
-
-
-def mapped_array(df: DataFrame, array: str, fn) -> DataFrame:
-    """``array`` with a Column function on every voxel."""
-    return df.withColumn(array, F.transform(array, fn))

@@ -204,6 +204,8 @@ _STAGED = [c.split()[0] for c in _STAGED_DDL.replace("map<string,string>", "map"
 
 def ingested(spark: SparkSession, pairs: Sequence[tuple[str, str]], name: str, fmt: str, reorient_to: bool | str | None = None, have: dict[str, int] | None = None, stage: str | None = None):
     """(obs, headers, tiles) DataFrames of the files. With ``stage`` (a directory) each file is read once, its rows staged there."""
+    from tomolake.operators.mapped import _held
+
     cfg = get_config().write.orientation
     target = reorient_to if isinstance(reorient_to, str) else cfg.target if (cfg.reorient if reorient_to is None else reorient_to) else None
     ids = unique_obs_ids(pairs, name, have)
@@ -213,7 +215,7 @@ def ingested(spark: SparkSession, pairs: Sequence[tuple[str, str]], name: str, f
     if stage:
         staged = spark.read.parquet(f"{stage}/{snapshot(staged, stage, 'staged')}")
     else:
-        staged = staged.persist()
+        staged = _held(staged)
     heads = staged.where("obs is not null")
     obs = heads.select(F.from_json("obs", NIFTI_DDL if fmt == "nifti" else DICOM_DDL).alias("o")).select("o.*")
     return obs, heads.select("obs_id", "shape", "dtype", "tile", "meta"), staged.where("obs is null").select(*voxels.TILE_COLUMNS)
