@@ -6,7 +6,9 @@ that cuts the sample, so a sample does not depend on how rows are dealt out.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from enum import Enum
 
@@ -61,6 +63,12 @@ def guided_start(shape: Sequence[int], patch: Sequence[int], coords: np.ndarray,
     return [int(min(max(0, c - p // 2), max(0, s - p))) for c, s, p in zip(centre, shape, patch, strict=False)]
 
 
+def pair_start(shape: Sequence[int], patch: Sequence[int], coords: Callable[[], np.ndarray], idx: int, prob: float, seed: int, epoch: int) -> list[int]:
+    """A pair's corner: guided by the foreground (asked for only then) with probability ``prob``, else uniform."""
+    guided = prob > 0 and np.random.default_rng([seed, epoch, idx, 1]).random() < prob
+    return guided_start(shape, patch, coords(), idx, seed, epoch) if guided else patch_start(shape, patch, idx, seed, epoch)
+
+
 def check_alignment(sets: Sequence[VolumeSet]) -> None:
     """All collections have the same subjects, each as often."""
     first = sets[0].obs.groupBy(SUBJECT).count()
@@ -77,12 +85,14 @@ def volume_shapes(vs: VolumeSet) -> DataFrame:
 
 def check_shapes(vs: VolumeSet, patch: Sequence[int] | None = None) -> None:
     """One shape for all; with a patch size, shapes may differ but must hold the patch."""
-    shapes = volume_shapes(vs).limit(1000).collect()
     if patch is not None:
-        if small := [list(r["shape"]) for r in shapes if any(s < p for s, p in zip(r["shape"], patch, strict=False))]:
-            raise ShapeError(f"patch {tuple(patch)} does not fit in {small[:5]}")
-    elif len(shapes) > 1:
-        raise ShapeError(f"volumes differ in shape: {[list(r['shape']) for r in shapes[:5]]}")
+        small = F.lit(False)
+        for axis, p in enumerate(patch):
+            small = small | (F.get("shape", F.lit(axis)) < int(p))
+        if bad := vs.headers.where(small).select("shape").distinct().orderBy("shape").limit(5).collect():
+            raise ShapeError(f"patch {tuple(patch)} does not fit in {[list(r['shape']) for r in bad]}")
+    elif len(shapes := volume_shapes(vs).orderBy("shape").limit(5).collect()) > 1:
+        raise ShapeError(f"volumes differ in shape: {[list(r['shape']) for r in shapes]}")
 
 
 def label_frame(vs: VolumeSet, labels) -> DataFrame | None:
@@ -100,14 +110,53 @@ def label_frame(vs: VolumeSet, labels) -> DataFrame | None:
     elif isinstance(labels, dict):
         labels = spark.createDataFrame([(str(k), v) for k, v in labels.items()], [OBS, "label"])
     elif callable(labels):
-        fn = labels
-        labels = spark.createDataFrame([(k, fn(k)) for k in vs.index], [OBS, "label"])
+        return _called(vs, labels)
     elif isinstance(labels, DataFrame):
         column = next(c for c in labels.columns if c not in (OBS, SUBJECT))
         labels = labels.select(OBS, F.col(column).alias("label"))
     return vs.obs.select(OBS).join(labels, OBS).select(OBS, "label").where("label is not null")
 
 
+def _called(vs: VolumeSet, fn: Callable) -> DataFrame:
+    """(obs_id, label) of a function of obs_id, applied in the tasks; its type is that of the first label in key order."""
+    first = vs.obs.select(OBS).orderBy(OBS).first()
+    kind = "string" if first is None else {bool: "boolean", int: "bigint", float: "double"}.get(type(fn(first[OBS])), "string")
+
+    def run(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({OBS: pdf[OBS], "label": pd.Series([fn(k) for k in pdf[OBS]], dtype=object)})
+
+    return vs.obs.select(OBS).mapInPandas(run, f"{OBS} string, label {kind}").where("label is not null")
+
+
+def cut_boxes(vs: VolumeSet, boxes: DataFrame) -> DataFrame:
+    """(idx, obs_id, shape, dtype, voxels) of every box (idx, obs_id, x0 to z1).
+
+    A box names the tiles that it meets, so boxes and tiles join on the tile's number, and only those tiles are put together.
+    """
+    heads = vs.headers.select(OBS, F.col("tile").alias("_tile"))
+    asked = boxes.select("idx", OBS, "x0", "y0", "z0", "x1", "y1", "z1").join(heads, OBS)
+    for k, a in enumerate("xyz"):
+        asked = asked.where(F.col(f"{a}1") > F.col(f"{a}0")).withColumn(f"c{a}", F.explode(F.expr(f"sequence(cast({a}0 div _tile[{k}] as int), cast(({a}1 - 1) div _tile[{k}] as int))")))
+    tiles = vs.tiles.withColumnsRenamed({"x0": "tx", "y0": "ty", "z0": "tz"})
+    pairs = asked.drop("_tile").join(tiles, [OBS, "cx", "cy", "cz"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        box = tuple((int(r[f"{a}0"]), int(r[f"{a}1"])) for a in "xyz") + ((0, int((pdf["t0"] + pdf["nt"]).max())),)
+        rows = pdf.drop(columns=["x0", "y0", "z0"]).rename(columns={"tx": "x0", "ty": "y0", "tz": "z0"}).to_dict("records")
+        a = voxels.assemble(rows, box, r["dtype"])
+        a = a[..., 0] if a.shape[3] == 1 else a
+        return pd.DataFrame([(int(r["idx"]), r[OBS], list(a.shape), a.dtype.str, a.tobytes())], columns=["idx", OBS, "shape", "dtype", "voxels"])
+
+    return pairs.groupBy("idx").applyInPandas(one, f"idx long, {OBS} string, shape array<int>, dtype string, voxels binary")
+
+
+def _placed(vs: VolumeSet) -> DataFrame:
+    """(pos, obs_id) in canonical order: aligned collections pair by position."""
+    return frames.with_position(vs.obs.select(OBS, SUBJECT), SUBJECT, OBS).select("pos", OBS)
+
+
 class SampleFrame:
     """Samples of one or more aligned collections (channels), by index or as a DataFrame of cut samples."""
 
@@ -196,21 +245,20 @@ class SampleFrame:
         return rows.mapInPandas(run, f"idx long, {OBS} string, x0 int, y0 int, z0 int, x1 int, y1 int, z1 int")
 
     def cut(self) -> DataFrame:
-        """(idx, obs_id, shape, dtype, voxels) of every sample of the first collection: tiles meet boxes by obs_id and overlap, then each sample is put together."""
+        """(idx, obs_id, shape, dtype, voxels) of every sample; several collections are channels, the first axis of the shape, and must have one dtype."""
         boxes = self.plan()
-        tiles = self.sets[0].tiles.withColumnsRenamed({"x0": "tx", "y0": "ty", "z0": "tz"})
-        meets = (F.col("tx") < F.col("x1")) & (F.col("tx") + F.col("nx") > F.col("x0")) & (F.col("ty") < F.col("y1")) & (F.col("ty") + F.col("ny") > F.col("y0")) & (F.col("tz") < F.col("z1")) & (F.col("tz") + F.col("nz") > F.col("z0"))
-        pairs = boxes.join(tiles, OBS).where(meets)
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            r = pdf.iloc[0]
-            box = tuple((int(r[f"{a}0"]), int(r[f"{a}1"])) for a in "xyz") + ((0, int((pdf["t0"] + pdf["nt"]).max())),)
-            rows = pdf.drop(columns=["x0", "y0", "z0"]).rename(columns={"tx": "x0", "ty": "y0", "tz": "z0"}).to_dict("records")
-            a = voxels.assemble(rows, box, r["dtype"])
-            a = a[..., 0] if a.shape[3] == 1 else a
-            return pd.DataFrame([(int(r["idx"]), r[OBS], list(a.shape), a.dtype.str, a.tobytes())], columns=["idx", OBS, "shape", "dtype", "voxels"])
-
-        return pairs.groupBy("idx").applyInPandas(one, f"idx long, {OBS} string, shape array<int>, dtype string, voxels binary")
+        first = cut_boxes(self.sets[0], boxes)
+        if len(self.sets) == 1:
+            return first
+        placed = boxes.withColumn("pos", F.floor(F.col("idx") / self.per_volume)).drop(OBS)
+        parts, same = [F.col("voxels")], F.lit(True)
+        for k, s in enumerate(self.sets[1:]):
+            other = cut_boxes(s, placed.join(_placed(s), "pos")).select("idx", F.col("shape").alias(f"_s{k}"), F.col("dtype").alias(f"_d{k}"), F.col("voxels").alias(f"_v{k}"))
+            first = first.join(other, "idx")
+            parts.append(F.col(f"_v{k}"))
+            same = same & (F.col(f"_d{k}") == F.col("dtype")) & (F.col(f"_s{k}") == F.col("shape"))
+        stacked = F.when(same, F.concat(*parts)).otherwise(F.raise_error(F.concat(F.lit("channels differ in shape or type: "), F.col(OBS))).cast("binary"))
+        return first.select("idx", OBS, F.concat(F.array(F.lit(len(self.sets))), F.col("shape")).alias("shape"), "dtype", stacked.alias("voxels"))
 
 
 class SegmentationFrame:
@@ -230,6 +278,7 @@ class SegmentationFrame:
         self.prob, self.seed, self.transform, self._epoch = foreground_prob, seed, transform, 0
         self.ids = list(zip(image.index.to_list(), mask.index.to_list(), strict=True))
         self._coords: dict[str, np.ndarray] = {}
+        self.most_remembered = 64
 
     def set_epoch(self, epoch: int) -> None:
         self._epoch = epoch
@@ -239,6 +288,8 @@ class SegmentationFrame:
 
     def _foreground(self, mask_id: str) -> np.ndarray:
         if mask_id not in self._coords:
+            if len(self._coords) >= self.most_remembered:
+                self._coords.pop(next(iter(self._coords)))
             self._coords[mask_id] = np.argwhere(self.mask.volume(mask_id).to_numpy() != 0)[:, :3]
         return self._coords[mask_id]
 
@@ -252,8 +303,7 @@ class SegmentationFrame:
         box = tuple((0, n) for n in a.shape[:3])
         out = {"obs_id": image_id, "mask_obs_id": mask_id, "idx": idx // self.per}
         if self.patch:
-            guided = self.prob > 0 and np.random.default_rng([self.seed, self._epoch, idx, 1]).random() < self.prob
-            start = guided_start(a.shape, self.patch, self._foreground(mask_id), idx, self.seed, self._epoch) if guided else patch_start(a.shape[:3], self.patch, idx, self.seed, self._epoch)
+            start = pair_start(a.shape[:3], self.patch, lambda: self._foreground(mask_id), idx, self.prob, self.seed, self._epoch)
             box = tuple((s, min(s + p, n)) for s, p, n in zip(start, self.patch, a.shape, strict=False))
             out |= {"patch_idx": idx % self.per, "patch_start": start}
         out |= {"image": a.box(box + tuple((0, n) for n in a.shape[3:]))[None], "mask": b.box(box + tuple((0, n) for n in b.shape[3:]))[None]}
@@ -262,14 +312,68 @@ class SegmentationFrame:
     def __iter__(self) -> Iterator[dict]:
         return (self[k] for k in range(len(self)))
 
+    def plan(self) -> DataFrame:
+        """(idx, pos, obs_id, mask_obs_id, x0 to z1): the box of every pair; a mask whose foreground guides patches is put together in one task."""
+        patch, per, prob, seed, epoch = self.patch, self.per, self.prob, self.seed, self._epoch
+        names = ["idx", "mask_obs_id", "x0", "y0", "z0", "x1", "y1", "z1"]
+        heads = _placed(self.mask).join(self.mask.headers.select(OBS, "shape"), OBS).select(OBS, "pos", "shape")
+        guided = patch is not None and prob > 0
+        if guided:
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.mask.tiles.schema.fields if f.name != OBS]
+            tiles = self.mask.tiles.withColumn("pos", F.lit(None).cast("long")).withColumn("shape", F.lit(None).cast("array<int>"))
+            rows = voxels.by_volume(tiles.unionByName(heads.select(OBS, *empty, "pos", "shape")))
+        else:
+            rows = heads
+
+        def boxes(mask_id: str, pos: int, shape, coords):
+            for idx in range(pos * per, pos * per + per):
+                lo, hi = [0, 0, 0], [int(n) for n in shape[:3]]
+                if patch is not None:
+                    lo = pair_start(hi, patch, coords, idx, prob, seed, epoch)
+                    hi = [min(a + p, n) for a, p, n in zip(lo, patch, hi, strict=True)]
+                yield (idx, mask_id, *lo, *hi)
+
+        def run(batches):
+            import pyarrow as pa
+
+            if guided:
+                held = voxels.streamed(batches)
+            else:
+                held = ([r] for batch in batches for r in batch.to_pylist())
+            for some in held:
+                head = next((r for r in some if r["shape"] is not None), None)
+                if head is None:
+                    continue
+                out = list(boxes(head[OBS], head["pos"], head["shape"], lambda some=some: np.argwhere(voxels.assembled([r for r in some if r["shape"] is None]) != 0)[:, :3]))
+                kinds = [pa.int64(), pa.string(), *[pa.int32()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        made = rows.mapInArrow(run, "idx long, mask_obs_id string, x0 int, y0 int, z0 int, x1 int, y1 int, z1 int").withColumn("pos", F.floor(F.col("idx") / per))
+        return made.join(_placed(self.image), "pos").select("idx", "pos", OBS, *names[1:])
+
+    def cut(self) -> DataFrame:
+        """(idx, obs_id, mask_obs_id, shape, dtype, image, mask_dtype, mask) of every pair."""
+        boxes = self.plan()
+        image = cut_boxes(self.image, boxes).withColumnRenamed("voxels", "image")
+        mask = cut_boxes(self.mask, boxes.select("idx", F.col("mask_obs_id").alias(OBS), "x0", "y0", "z0", "x1", "y1", "z1"))
+        mask = mask.select("idx", F.col(OBS).alias("mask_obs_id"), F.col("dtype").alias("mask_dtype"), F.col("voxels").alias("mask"))
+        return image.join(mask, "idx").select("idx", OBS, "mask_obs_id", "shape", "dtype", "image", "mask_dtype", "mask")
+
 
 # -- loaders ----------------------------------------------------------------------------------
 
 
 class Loader:
-    """Batches of a frame: shuffled by (seed, epoch) or in order; shards are disjoint and padded to one length."""
+    """Batches of a frame: shuffled by (seed, epoch) or in order; shards are disjoint and padded to one length.
+
+    With ``workers`` samples are cut by so many threads, ``prefetch`` batches ahead (reads and decompression leave
+    Python's lock); order and values are the same as without. ``torch`` gives tensors instead of arrays.
+    """
 
-    def __init__(self, frame, batch_size: int = 4, shuffle: bool = False, drop_last: bool = False, seed: int = 0, rank: int = 0, world: int = 1):
+    def __init__(self, frame, batch_size: int = 4, shuffle: bool = False, drop_last: bool = False, seed: int = 0, rank: int = 0, world: int = 1, workers: int = 0, prefetch: int = 2, torch: bool = False):
+        if workers < 0 or prefetch < 1:
+            raise ConfigurationError("workers are not negative and prefetch is at least 1")
+        self.workers, self.prefetch, self.torch = workers, prefetch, torch
         if batch_size < 1 or not 0 <= rank < world:
             raise ConfigurationError("batch_size is at least 1 and rank below world")
         self.frame, self.batch_size, self.shuffle, self.drop_last, self.seed, self.rank, self.world, self.epoch = frame, batch_size, shuffle, drop_last, seed, rank, world, 0
@@ -292,25 +396,53 @@ class Loader:
 
     def __iter__(self) -> Iterator[dict]:
         ids = self.order()
-        for k in range(len(self)):
-            rows = [self.frame[i] for i in ids[k * self.batch_size : (k + 1) * self.batch_size]]
-            yield {c: np.stack([r[c] for r in rows]) if isinstance(rows[0][c], np.ndarray) else [r[c] for r in rows] for c in rows[0]}
+        parts = [ids[k * self.batch_size : (k + 1) * self.batch_size] for k in range(len(self))]
+        if not self.workers:
+            yield from (self._batch([self.frame[i] for i in part]) for part in parts)
+            return
+        with ThreadPoolExecutor(self.workers) as pool:
+            ahead: deque = deque()
+            try:
+                for part in parts:
+                    ahead.append([pool.submit(self.frame.__getitem__, i) for i in part])
+                    if len(ahead) > self.prefetch:
+                        yield self._batch([f.result() for f in ahead.popleft()])
+                while ahead:
+                    yield self._batch([f.result() for f in ahead.popleft()])
+            finally:
+                pool.shutdown(cancel_futures=True)
+
+    def _batch(self, rows: list[dict]) -> dict:
+        out = {c: np.stack([r[c] for r in rows]) if isinstance(rows[0][c], np.ndarray) else [r[c] for r in rows] for c in rows[0]}
+        if self.torch:
+            import torch
+
+            out = {c: torch.from_numpy(np.ascontiguousarray(v)) if isinstance(v, np.ndarray) else v for c, v in out.items()}
+        return out
+
+
+def training_loader(frame, batch_size: int = 4, seed: int = 0, **options) -> Loader:
+    return Loader(frame, batch_size, shuffle=True, drop_last=True, seed=seed, **options)
 
 
-def training_loader(frame, batch_size: int = 4, seed: int = 0) -> Loader:
-    return Loader(frame, batch_size, shuffle=True, drop_last=True, seed=seed)
+def validation_loader(frame, batch_size: int = 4, **options) -> Loader:
+    return Loader(frame, batch_size, **options)
 
 
-def validation_loader(frame, batch_size: int = 4) -> Loader:
-    return Loader(frame, batch_size)
+def inference_loader(frame, batch_size: int = 1, **options) -> Loader:
+    """Every sample once, in order."""
+    return Loader(frame, batch_size, **options)
 
 
-inference_loader = validation_loader
-segmentation_loader = training_loader
+def segmentation_loader(
+    image: VolumeSet, mask: VolumeSet, batch_size: int = 4, patch_size: Sequence[int] | None = None, patches_per_volume: int = 1, foreground_prob: float = 0.0, seed: int = 0, transform: Callable | None = None, **options
+) -> Loader:
+    """A shuffled loader of image-mask pairs."""
+    return training_loader(SegmentationFrame(image, mask, patch_size, patches_per_volume, foreground_prob, seed, transform), batch_size, seed, **options)
 
 
-def distributed_loader(frame, rank: int, world: int, batch_size: int = 4, shuffle: bool = True, seed: int = 0) -> Loader:
-    return Loader(frame, batch_size, shuffle, drop_last=True, seed=seed, rank=rank, world=world)
+def distributed_loader(frame, rank: int, world: int, batch_size: int = 4, shuffle: bool = True, seed: int = 0, **options) -> Loader:
+    return Loader(frame, batch_size, shuffle, drop_last=True, seed=seed, rank=rank, world=world, **options)
 
 
 def batches(keys: DataFrame, key: str, batch_size: int, seed: int | None = None, epoch: int = 0, drop_last: bool = False) -> DataFrame:
