@@ -97,11 +97,15 @@ class MetaTable:
     def drop_column(self, name: str) -> None:
         self._swap(frames.drop_column(self.df, name, self.keys))
 
-    def update(self, rows: DataFrame | pd.DataFrame) -> None:
-        """Upsert by the index columns; columns that ``rows`` lacks keep their values, new rows have nulls there."""
+    def update(self, rows: DataFrame | pd.DataFrame, columns: Sequence[str] | None = None) -> None:
+        """Upsert by the index columns; columns that ``rows`` lacks, or that are not among ``columns``, keep their values, new rows have nulls there."""
         delta = self.spark.createDataFrame(rows) if isinstance(rows, pd.DataFrame) else rows
         if missing := [k for k in self.keys if k not in delta.columns]:
             raise SchemaError(f"index columns {missing} are missing")
+        if columns is not None:
+            if unknown := [c for c in columns if c not in delta.columns]:
+                raise SchemaError(f"unknown columns {unknown}")
+            delta = delta.select(*self.keys, *(c for c in columns if c not in self.keys))
         self._swap(frames.upsert(self.df, delta, *self.keys))
 
     def delete(self, condition: str) -> None:
