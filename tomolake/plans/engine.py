@@ -73,6 +73,26 @@ def seg(s, d) -> VolumeSet:
     return VolumeSet(s, workspace.once(s, d, "seg", make))
 
 
+def plain(s, d) -> VolumeSet:
+    """All embeddings under nine digits of vec_id, which are their subjects too: canonical order is that of vec_id."""
+
+    def make(uri):
+        e = s.read.parquet(f"{d}/embeddings.parquet")
+        VolumeSet.from_table(s, uri, e.select(_key("", F.col("vec_id")).alias(SUBJECT), _key("", F.col("vec_id")).alias(OBS), "label", "embedding"), "embedding", SHAPE, "plain")
+
+    return VolumeSet(s, workspace.once(s, d, "plain", make))
+
+
+def above(s, d, level: float) -> VolumeSet:
+    """The voxels of ``plain`` above a level, as 0 and 1."""
+
+    def make(uri):
+        e = s.read.parquet(f"{d}/embeddings.parquet").withColumn("embedding", F.transform("embedding", lambda x: (x.cast("double") > level).cast("float")))
+        VolumeSet.from_table(s, uri, e.select(_key("", F.col("vec_id")).alias(SUBJECT), _key("", F.col("vec_id")).alias(OBS), "embedding"), "embedding", SHAPE, "above")
+
+    return VolumeSet(s, workspace.once(s, d, f"above-{level}", make))
+
+
 def subjects(s, d) -> DataFrame:
     c = s.read.parquet(f"{d}/customer.parquet")
     return c.select(_key("s", F.col("c_custkey")).alias(SUBJECT), "c_acctbal", "c_mktsegment", "c_nationkey")

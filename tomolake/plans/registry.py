@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tomolake.functions import naming
 from tomolake.operators import frames, samples, voxels
 from tomolake.operators.index import positions
+from tomolake.plans import engine
 from tomolake.plans.predicate import predicate, where
 from tomolake.streaming.windows import first_of_key, windowed
 
@@ -111,12 +111,12 @@ def iloc_mask(s, d):
 
 @_query
 def loc_list(s, d):
-    return _obs(s, d).where(F.col("o_orderkey").isin([1, 2, 3, 77, 130])).select("o_orderkey", "o_totalprice")
+    return frames.of_values(_obs(s, d), "o_orderkey", [1, 2, 3, 77, 130]).select("o_orderkey", "o_totalprice")
 
 
 @_query
 def sel_subject(s, d):
-    return _obs(s, d).where(F.col("o_custkey").isin([7, 22])).select("o_orderkey", "o_custkey")
+    return frames.of_values(_obs(s, d), "o_custkey", [7, 22]).select("o_orderkey", "o_custkey")
 
 
 @_query
@@ -419,26 +419,24 @@ def histogram_range(s, d):
 
 @_query
 def uniform_shape(s, d):
-    return _vol(s, d).groupBy(F.size("embedding").cast("long").alias("n_voxels")).agg(F.count("*").alias("n"))
+    return samples.volume_shapes(engine.plain(s, d)).select(F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n).alias("n_voxels"), "n")
 
 
 @_query
 def foreground_coords(s, d):
-    return voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE).where("value > 0.2").select("vec_id", "x", "y", "z")
+    return engine.above(s, d, 0.2).foreground().select(F.col("obs_id").cast("long").alias("vec_id"), "x", "y", "z")
 
 
 @_query
 def reorient_las(s, d):
-    """The first axis flipped."""
-    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
-    return c.select("vec_id", (F.lit(SHAPE[0] - 1) - F.col("x")).alias("x"), "y", "z", _r("value").alias("value"))
+    """Volumes turned to LAS: the first axis flipped."""
+    return engine.volumes_las(s, d)
 
 
 @_query
 def reorient_lps(s, d):
-    """The first two axes flipped."""
-    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
-    return c.select("vec_id", (F.lit(SHAPE[0] - 1) - F.col("x")).alias("x"), (F.lit(SHAPE[1] - 1) - F.col("y")).alias("y"), "z", _r("value").alias("value"))
+    """Volumes turned to LPS: the first two axes flipped."""
+    return engine.volumes_lps(s, d)
 
 
 # -- maps -------------------------------------------------------------------------------------
@@ -470,7 +468,8 @@ def map_normalize(s, d):
 
 @_query
 def map_obs_updates(s, d):
-    return _mapped(s, d, lambda a, row: (row["vec_id"], round(float(a.max()), 6), bool(a.mean() > 0)), "vec_id long, peak double, positive boolean")
+    m = engine.plain(s, d).map(lambda a, row: (0, {"peak": round(float(a.max()), 6), "positive": bool(a.astype(float).mean() > 0)}))
+    return m.to_dataframe().select(F.col("obs_id").cast("long").alias("vec_id"), "peak", "positive")
 
 
 @_query
@@ -489,9 +488,16 @@ def map_chain(s, d):
 @_query
 def map_batches(s, d):
     """Each volume's total within its batch of eight (canonical order)."""
-    placed = frames.with_position(_vol(s, d).select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")), "vec_id")
-    b = placed.withColumn("batch", F.floor(F.col("pos") / 8))
-    return b.withColumn("in_batch", F.sum("total").over(Window.partitionBy("batch"))).select("vec_id", "batch", _r("in_batch", 4).alias("in_batch"))
+
+
+    def totals(items):
+        whole = sum(float(a.astype(float).sum()) for a, _ in items)
+        return [(0, {"in_batch": whole})] * len(items)
+
+    vs = engine.plain(s, d)
+    out = vs.map_batches(totals, 8).to_dataframe().select(F.col("obs_id").cast("long").alias("vec_id"), "in_batch")
+    placed = frames.with_position(vs.obs.select(F.col("obs_id").cast("long").alias("vec_id")), "vec_id")
+    return placed.join(out, "vec_id").select("vec_id", F.floor(F.col("pos") / 8).alias("batch"), _r("in_batch", 4).alias("in_batch"))
 
 
 # -- samples ----------------------------------------------------------------------------------
@@ -520,16 +526,19 @@ def patch_samples(s, d):
 @_query
 def foreground_patch(s, d):
     """A patch centred on each volume's strongest voxel, moved inside."""
-    c = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
-    best = c.groupBy("vec_id").agg(F.max_by(F.struct("x", "y", "z"), F.struct("value", -F.col("x") * 16 - F.col("y") * 4 - F.col("z"))).alias("b"))
-    clip = lambda a: F.least(F.greatest(F.col(f"b.{a}") - 1, F.lit(0)), F.lit(2)).cast("long").alias(a)
-    return best.select("vec_id", clip("x"), clip("y"), clip("z"))
+
+
+    def start(a, row):
+        x, y, z = samples.guided_start(a.shape, PATCH, np.array([np.unravel_index(a.argmax(), a.shape)]), 0)
+        return 0, {"x": x, "y": y, "z": z}
+
+    return engine.plain(s, d).map(start).to_dataframe().select(F.col("obs_id").cast("long").alias("vec_id"), "x", "y", "z")
 
 
 @_query
 def slice2d_samples(s, d):
-    first = frames.with_position(_vol(s, d).select("vec_id"), "vec_id")
-    return first.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(SHAPE[2] - 1))).alias("z"), "pos").select((F.col("pos") * SHAPE[2] + F.col("z")).alias("idx"), "vec_id", F.col("z").cast("long").alias("z"))
+    plan = samples.SampleFrame([engine.plain(s, d)], samples.SampleConfig(samples.Loading.SLICE_2D)).plan()
+    return plan.select("idx", F.col("obs_id").cast("long").alias("vec_id"), F.col("z0").cast("long").alias("z"))
 
 
 @_query
@@ -543,9 +552,18 @@ def multimodal_stack(s, d):
 
 @_query
 def segmentation_pairs(s, d):
-    image = voxels.cells(_vol(s, d), "vec_id", "embedding", SHAPE)
-    mask = image.where("value > 0.1").select("vec_id", "x", "y", "z")
-    return image.join(mask, ["vec_id", "x", "y", "z"]).groupBy("vec_id").agg(F.count("*").alias("n"), _r(F.sum("value"), 5).alias("total"))
+    """Image and mask of every pair, cut by the plan; volumes with an empty mask have no row."""
+    cut = samples.SegmentationFrame(engine.plain(s, d), engine.above(s, d, 0.1)).cut()
+
+    def under(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for k, a, b, ka, kb in zip(pdf["obs_id"], pdf["image"], pdf["mask"], pdf["dtype"], pdf["mask_dtype"], strict=True):
+                x = np.frombuffer(a, ka).astype(float)[np.frombuffer(b, kb) != 0]
+                rows += [(int(k), len(x), float(x.sum()))] if len(x) else []
+            yield pd.DataFrame(rows, columns=["vec_id", "n", "total"])
+
+    return cut.mapInPandas(under, "vec_id long, n long, total double").withColumn("total", _r("total", 5))
 
 
 @_query
