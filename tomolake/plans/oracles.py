@@ -31,7 +31,6 @@ def _series_case() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    starts = ", ".join(f"({i}, {x}, {y}, {z})" for i, (x, y, z) in enumerate(registry.STARTS))
     names = ", ".join(f"'{n}'" for n in registry.NAMES)
     return {
         "meta_scan": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0",
@@ -111,13 +110,9 @@ def oracle_sql() -> dict[str, str]:
         "map_chain": f"WITH {_VOX} SELECT vec_id, count(*) FILTER (WHERE v > 0) AS kept, round(sum(greatest(v, 0)) * count(*) FILTER (WHERE v > 0), 4) AS value FROM vox GROUP BY 1",
         "map_batches": f"""WITH {_VOX}, t AS (SELECT vec_id, sum(v) AS total FROM vox GROUP BY 1), p AS (SELECT *, (row_number() OVER (ORDER BY vec_id) - 1) // 8 AS batch FROM t)
  SELECT vec_id, batch, round(sum(total) OVER (PARTITION BY batch), 4) AS in_batch FROM p""",
-        "patch_samples": f"""WITH {_CELLS}, s(idx, sx, sy, sz) AS (VALUES {starts}), p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)
- SELECT s.idx::BIGINT AS idx, c.vec_id, s.sx::BIGINT AS x, s.sy::BIGINT AS y, s.sz::BIGINT AS z, round(sum(c.value), 5) AS total
- FROM s JOIN p ON p.pos = s.idx // 2 JOIN cells c ON c.vec_id = p.vec_id AND c.x BETWEEN sx AND sx + 1 AND c.y BETWEEN sy AND sy + 1 AND c.z BETWEEN sz AND sz + 1 GROUP BY ALL""",
         "foreground_patch": f"""WITH {_CELLS}, b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, x, y, z) AS k FROM cells)
  SELECT vec_id, least(greatest(x - 1, 0), 2)::BIGINT AS x, least(greatest(y - 1, 0), 2)::BIGINT AS y, least(greatest(z - 1, 0), 2)::BIGINT AS z FROM b WHERE k = 1""",
         "slice2d_samples": "SELECT pos * 4 + z AS idx, vec_id, z FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) CROSS JOIN (SELECT unnest(range(4)) AS z)",
-        "multimodal_stack": "SELECT vec_id, p, round(v, 6) AS c0, round(-v, 6) AS c1 FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE p < 4",
         "segmentation_pairs": f"WITH {_VOX} SELECT vec_id, count(*) AS n, round(sum(v), 5) AS total FROM vox WHERE v > 0.1 GROUP BY 1",
         "label_join": "SELECT doc_id, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)",
         "train_batches": "SELECT * FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, (row_number() OVER (ORDER BY vec_id) - 1) // 16 AS batch FROM embeddings) WHERE batch < (SELECT count(*) // 16 FROM embeddings)",

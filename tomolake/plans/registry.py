@@ -502,27 +502,6 @@ def map_batches(s, d):
 
 # -- samples ----------------------------------------------------------------------------------
 
-STARTS = [samples.patch_start(SHAPE, PATCH, i) for i in range(100)]
-
-
-@_query
-def patch_samples(s, d):
-    """Two patches of each of the first fifty volumes: start and sum."""
-    first = frames.with_position(_vol(s, d).select("vec_id", "embedding"), "vec_id").where("pos < 50")
-
-    def run(pdfs):
-        for pdf in pdfs:
-            out = []
-            for k, p, e in zip(pdf["vec_id"], pdf["pos"], pdf["embedding"], strict=True):
-                a = np.asarray(e, float).reshape(SHAPE)
-                for j in range(2):
-                    x, y, z = samples.patch_start(SHAPE, PATCH, int(p) * 2 + j)
-                    out.append((int(p) * 2 + j, int(k), x, y, z, round(float(a[x : x + 2, y : y + 2, z : z + 2].sum()), 5)))
-            yield pd.DataFrame(out, columns=["idx", "vec_id", "x", "y", "z", "total"])
-
-    return first.mapInPandas(run, "idx long, vec_id long, x long, y long, z long, total double")
-
-
 @_query
 def foreground_patch(s, d):
     """A patch centred on each volume's strongest voxel, moved inside."""
@@ -541,15 +520,6 @@ def slice2d_samples(s, d):
     return plan.select("idx", F.col("obs_id").cast("long").alias("vec_id"), F.col("z0").cast("long").alias("z"))
 
 
-@_query
-def multimodal_stack(s, d):
-    """Two aligned collections as channels of one sample."""
-    a = _vol(s, d).select("vec_id", F.col("embedding").alias("one"))
-    b = _vol(s, d).select("vec_id", F.transform("embedding", lambda x: -x).alias("two"))
-    z = a.join(b, "vec_id").select("vec_id", F.posexplode(F.arrays_zip("one", "two")).alias("p", "c"))
-    return z.where("p < 4").select("vec_id", F.col("p").cast("long").alias("p"), _r(F.col("c.one").cast("double")).alias("c0"), _r(F.col("c.two").cast("double")).alias("c1"))
-
-
 @_query
 def segmentation_pairs(s, d):
     """Image and mask of every pair, cut by the plan; volumes with an empty mask have no row."""
