@@ -1,4 +1,4 @@
-"""What a query has read: counters of its scans, from Spark's own metrics."""
+"""What has been read: counters of a query's scans, from Spark's own metrics, and of single reads of a collection."""
 
 from __future__ import annotations
 
@@ -19,6 +19,49 @@ class ScanStats:
         return self.bytes / self.rows if self.rows else 0.0
 
 
+@dataclass(frozen=True)
+class ReadStats:
+    """Single reads of a collection's volumes by this driver: lookups of tiles, row groups and bytes."""
+
+    hits: int = 0
+    misses: int = 0
+    reads: int = 0
+    groups: int = 0
+    bytes: int = 0
+    parallel: int = 0
+
+    @property
+    def hit_rate(self) -> float:
+        return self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
+
+    @property
+    def miss_rate(self) -> float:
+        return 1.0 - self.hit_rate
+
+    @property
+    def parallel_rate(self) -> float:
+        return self.parallel / self.reads if self.reads else 0.0
+
+
+class Reads:
+    """``with Reads(collection) as r: ...``; ``r.stats`` holds what was read inside."""
+
+    def __init__(self, collection):
+        self.collection = collection
+
+    def _now(self) -> dict[str, int]:
+        files = self.collection.local_tiles()
+        return dict(files.counters) if files is not None else {}
+
+    def __enter__(self) -> Reads:
+        self._before = self._now()
+        self.stats = ReadStats()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stats = ReadStats(**{k: n - self._before.get(k, 0) for k, n in self._now().items()})
+
+
 def _nodes(plan):
     stack = [plan]
     while stack:

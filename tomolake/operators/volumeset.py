@@ -22,7 +22,7 @@ from tomolake.functions.naming import adjacent_uri, generate_obs_id
 from tomolake.operators import frames, voxels
 from tomolake.operators.frames import OBS, SUBJECT
 from tomolake.operators.index import KeyIndex, positions
-from tomolake.operators.volume import TileFiles, VolumeRef, codes
+from tomolake.operators.volume import TileFiles, VolumeRef, codes, stored
 from tomolake.plans.predicate import predicate
 from tomolake.storage import Store, snapshot
 
@@ -482,7 +482,8 @@ class VolumeSet:
             affine = np.array(json.loads(meta["affine_json"])) if "affine_json" in meta else np.eye(4)
             os.makedirs(directory, exist_ok=True)
             path = os.path.join(directory, f"{first[OBS]}{suffix}")
-            write_nifti(path, a, affine, **codes(meta))
+            a, slope, inter = stored(a, meta)
+            write_nifti(path, a, affine, slope=slope, inter=inter, **codes(meta))
             return pd.DataFrame({OBS: [first[OBS]], "path": [path]})
 
         return self.tiles.join(heads, OBS).groupBy(OBS).applyInPandas(one, f"{OBS} string, path string")

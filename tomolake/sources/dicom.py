@@ -1,8 +1,9 @@
-"""DICOM series: uncompressed little-endian files, explicit or implicit VR."""
+"""DICOM series: little-endian files, explicit or implicit VR, plain, deflated or with RLE pixels."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 
@@ -19,6 +20,48 @@ TAGS = {
 SHORT = {"rows", "columns", "bits", "signed"}
 NUMBERS = {"kvp", "exposure", "repetition_time", "echo_time", "magnetic_field_strength", "thickness"}
 LITTLE = {"1.2.840.10008.1.2", "1.2.840.10008.1.2.1"}
+DEFLATED, RLE = "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.5"
+
+
+def unpacked_bits(raw: bytes, size: int) -> bytes:
+    """PackBits: a count and literal bytes, or a count and one byte that repeats."""
+    out, at = bytearray(), 0
+    while at < len(raw) and len(out) < size:
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        elif n > 128:
+            out += raw[at + 1 : at + 2] * (257 - n)
+            at += 2
+        else:
+            at += 1
+    return bytes(out[:size])
+
+
+def rle_frame(raw: bytes, n: int, width: int) -> bytes:
+    """``n`` little-endian values of ``width`` bytes from an RLE frame, whose segments are byte planes, highest first."""
+    count, *offsets = struct.unpack_from("<16I", raw, 0)
+    if count != width:
+        raise IngestError(f"an RLE frame of {count} segments does not hold values of {width} bytes")
+    ends = [*offsets[1:count], len(raw)]
+    planes = [np.frombuffer(unpacked_bits(raw[a:b], n), np.uint8) for a, b in zip(offsets, ends, strict=False)]
+    if any(len(p) != n for p in planes):
+        raise IngestError("an RLE segment is too short")
+    return np.stack(planes[::-1], 1).tobytes()
+
+
+def fragments(raw: bytes, at: int) -> bytes:
+    """The items of encapsulated pixels after their offset table, put together."""
+    out, first = b"", True
+    while at + 8 <= len(raw):
+        group, element, size = struct.unpack_from("<HHI", raw, at)
+        if (group, element) != (0xFFFE, 0xE000):
+            break
+        if not first:
+            out += raw[at + 8 : at + 8 + size]
+        first, at = False, at + 8 + size
+    return out
 
 
 def parse_file(raw: bytes, pixels: bool = True) -> dict:
@@ -33,6 +76,10 @@ def parse_file(raw: bytes, pixels: bool = True) -> dict:
         group, element = struct.unpack_from("<HH", raw, at)
         if in_meta and group != 2:
             in_meta = False
+            if out.get("syntax") == DEFLATED:
+                raw, at = zlib.decompress(raw[at:], -15), 0
+                n = len(raw)
+                group, element = struct.unpack_from("<HH", raw, at)
             explicit = out.get("syntax", "1.2.840.10008.1.2.1") != "1.2.840.10008.1.2"
         if group == 0xFFFE:  # items and delimiters of sequences of undefined length
             at += 8
@@ -51,7 +98,11 @@ def parse_file(raw: bytes, pixels: bool = True) -> dict:
         name = TAGS.get((group, element))
         if size == 0xFFFFFFFF:
             if name == "pixels":
-                raise IngestError("compressed DICOM pixels are not supported")
+                if out.get("syntax") != RLE:
+                    raise IngestError(f"pixels in transfer syntax {out.get('syntax')} are not supported")
+                if pixels:
+                    out["packed"] = fragments(raw, at)
+                break
             continue  # its items are read one by one
         if vr == b"SQ":
             at += size
@@ -66,7 +117,7 @@ def parse_file(raw: bytes, pixels: bool = True) -> dict:
             out[name] = struct.unpack_from("<H", value)[0]
         else:
             text = value.decode("latin-1").strip("\0 ")
-            if name == "syntax" and text not in LITTLE:
+            if name == "syntax" and text not in LITTLE | {DEFLATED, RLE}:
                 raise IngestError(f"transfer syntax {text} is not supported")
             if name in ("position", "orientation", "spacing"):
                 out[name] = [float(x) for x in text.split("\\") if x.strip()]
@@ -78,6 +129,8 @@ def parse_file(raw: bytes, pixels: bool = True) -> dict:
                 out[name] = text
     if "rows" not in out or "columns" not in out:
         raise IngestError("not a DICOM image")
+    if "packed" in out:
+        out["pixels"] = rle_frame(out.pop("packed"), out["rows"] * out["columns"], max(1, out.get("bits", 16) // 8))
     return out
 
 

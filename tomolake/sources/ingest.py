@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tomolake.config import get_config
 from tomolake.errors import AlignmentError, IngestError, SchemaError, ShapeError, StorageError
 from tomolake.functions.naming import infer_series_type
-from tomolake.functions.orientation import axcodes, reorient
+from tomolake.functions.orientation import axcodes, detect, reorient
 from tomolake.operators import voxels
 from tomolake.operators.frames import OBS, SUBJECT
 from tomolake.operators.volumeset import MANIFEST, VolumeSet, commit, unique_obs_ids, write_tiles
@@ -44,11 +44,18 @@ def _is_nifti(path: str | Path) -> bool:
     return bool(_NIFTI.search(str(path)))
 
 
+def is_remote(path) -> bool:
+    """Whether a path names a file system by its scheme: such files are listed and read through Hadoop."""
+    return bool(re.match(r"[A-Za-z][A-Za-z0-9+.\-]+:/", str(path)))
+
+
 def detect_format(source) -> str:
     """``nifti`` or ``dicom``; IngestError when a source tells neither."""
     if isinstance(source, (list, tuple)):
         if not source:
             raise IngestError("no files")
+        if is_remote(source[0][0]) and _is_nifti(source[0][0]):
+            return "nifti"
         first = Path(source[0][0])
         if first.is_dir():
             return "dicom"
@@ -60,6 +67,8 @@ def detect_format(source) -> str:
         if ".nii" in text:
             return "nifti"
         raise IngestError(f"a pattern must name .nii files: {text}")
+    if is_remote(text):
+        return "nifti"  # series lie in folders that are mounted
     p = Path(text)
     if not p.exists():
         raise IngestError(f"{p} does not exist")
@@ -78,7 +87,9 @@ def resolve_nifti(source, subject_id: Callable = default_subject_id) -> list[tup
     if isinstance(source, (list, tuple)):
         return [(str(p), s) for p, s in source]
     text = str(source)
-    if any(c in text for c in "*?["):
+    if is_remote(text):
+        found = [p for p in Store(SparkSession.getActiveSession()).listed(text) if _is_nifti(p)]
+    elif any(c in text for c in "*?["):
         found = sorted(_glob.glob(text, recursive=True))
     elif os.path.isdir(text):
         found = sorted(str(p) for p in Path(text).rglob("*") if _is_nifti(p))
@@ -129,13 +140,17 @@ def discover_pairs(image_dir: str, label_dir: str | None = None, pattern: str =
 # -- reading ----------------------------------------------------------------------------------
 
 
-def read_nifti(path: str) -> tuple[np.ndarray, dict]:
+def nifti_of(raw: bytes) -> tuple[np.ndarray, dict]:
     from tomolake.sources import nifti
 
-    a, h = nifti.parse(Path(path).read_bytes())
+    a, h = nifti.parse(raw)
     return a, nifti.header_meta(h)
 
 
+def read_nifti(path: str) -> tuple[np.ndarray, dict]:
+    return nifti_of(Path(path).read_bytes())
+
+
 def series_files(directory: str) -> list[str]:
     files = sorted(Path(directory).glob("*.dcm")) or sorted(p for p in Path(directory).iterdir() if p.is_file() and not p.name.startswith("."))
     if not files:
@@ -168,16 +183,21 @@ def header_frame(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, ddl)
 
 
+#: What a volume's header keeps of its file's.
+KEPT = ("axcodes", "affine_json", "orientation_source", "qform_code", "sform_code", "xyzt_units", "scl_slope", "scl_inter", "datatype")
+
+
 def _read_rows(fmt: str, target: str | None):
     """Files to rows of three kinds at once: a header row with the obs attributes, then tiles."""
-    cfg = get_config().write.tile
+    cfg, auto = get_config().write.tile, get_config().write.orientation.auto_detect
 
     def run(pdfs):
         import json
 
         for pdf in pdfs:
-            for path, subject, obs_id in zip(pdf["path"], pdf["subject"], pdf["obs_id"], strict=True):
-                a, meta = (read_nifti if fmt == "nifti" else read_dicom)(path)
+            contents = pdf["content"] if "content" in pdf.columns else [None] * len(pdf)
+            for path, subject, obs_id, content in zip(pdf["path"], pdf["subject"], pdf["obs_id"], contents, strict=True):
+                a, meta = nifti_of(bytes(content)) if content is not None else (read_nifti if fmt == "nifti" else read_dicom)(path)
                 meta["source_path"] = path
                 if fmt == "nifti":
                     meta["series_type"] = infer_series_type(default_subject_id(path))
@@ -185,7 +205,9 @@ def _read_rows(fmt: str, target: str | None):
                     a, affine = reorient(a, np.array(json.loads(meta["affine_json"])), target)
                     meta |= {"axcodes": "".join(axcodes(affine)), "affine_json": json.dumps(affine.tolist())}
                 extents = cfg.extents(voxels.check_shape(a.shape))
-                kept = {k: str(v) for k, v in meta.items() if k in ("axcodes", "affine_json", "orientation_source", "qform_code", "sform_code", "xyzt_units")}
+                kept = {k: str(v) for k, v in meta.items() if k in KEPT}
+                if auto:
+                    kept["orientation_confidence"] = detect(np.array(json.loads(meta["affine_json"])), meta["orientation_source"]).confidence
                 head = {"obs_id": obs_id, "shape": list(a.shape), "dtype": a.dtype.str, "tile": list(extents), "meta": {"tile_orientation": cfg.orientation.value} | kept, "obs": json.dumps({SUBJECT: subject, OBS: obs_id} | meta)}
                 yield _filled(pd.DataFrame([head]))
                 tiles = pd.DataFrame(list(voxels.tiles_of(obs_id, a, extents)), columns=voxels.TILE_COLUMNS)
@@ -210,7 +232,16 @@ def ingested(spark: SparkSession, pairs: Sequence[tuple[str, str]], name: str, f
     target = reorient_to if isinstance(reorient_to, str) else cfg.target if (cfg.reorient if reorient_to is None else reorient_to) else None
     ids = unique_obs_ids(pairs, name, have)
     rows = [(str(p), s, i) for (p, s), i in zip(pairs, ids, strict=True)]
-    files = spark.createDataFrame(rows, "path string, subject string, obs_id string").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "obs_id")
+    files = spark.createDataFrame(rows, "path string, subject string, obs_id string")
+    n = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    if fmt == "nifti" and any(is_remote(p) for p, _ in pairs):
+        # object stores are read by Spark itself; the bytes go where the rows go
+        store = Store(spark)
+        named = spark.createDataFrame([(store.qualified(p), *r) for (p, _), r in zip(pairs, rows, strict=True)], "_at string, path string, subject string, obs_id string")
+        content = spark.read.format("binaryFile").load([store.qualified(p) for p, _ in pairs]).select(F.col("path").alias("_at"), "content")
+        files = named.join(content, "_at").drop("_at")
+    else:
+        files = files.repartition(n, "obs_id")
     staged = files.mapInPandas(_read_rows(fmt, target), _STAGED_DDL)
     if stage:
         staged = spark.read.parquet(f"{stage}/{snapshot(staged, stage, 'staged')}")
@@ -233,8 +264,9 @@ def build_collection(
         raise IngestError("no files")
     if valid_subjects is not None and (bad := sorted({s for _, s in pairs} - set(valid_subjects))[:5]):
         raise AlignmentError(f"unknown subjects {bad}")
+    store = Store(spark)
     for p, _ in pairs:
-        if not os.path.exists(p):
+        if not (store.exists(p) if is_remote(p) else os.path.exists(p)):
             raise FileNotFoundError(p)
     if obs is not None:
         if SUBJECT not in obs.columns:
@@ -244,14 +276,15 @@ def build_collection(
         names = {c.strip().split()[0] for c in (NIFTI_DDL if fmt == "nifti" else DICOM_DDL).split(",")}
         if clash := (set(obs.columns) - {SUBJECT, OBS}) & names:
             raise SchemaError(f"columns clash with generated ones: {sorted(clash)}")
-    if check_shapes and fmt == "nifti":
+    remote = any(is_remote(p) for p, _ in pairs)
+    if check_shapes and fmt == "nifti" and not remote:
         dims = header_frame(spark, [p for p, _ in pairs]).groupBy("dimensions").count().limit(2).collect()
         if len(dims) > 1:
             raise ShapeError(f"files differ in shape: {[r.dimensions for r in dims]}")
     rows, heads, tiles = ingested(spark, pairs, name, fmt, reorient_to, stage=uri)
-    if check_shapes and fmt == "dicom" and heads.select("shape").distinct().limit(2).count() > 1:
+    if check_shapes and (fmt == "dicom" or remote) and heads.select("shape").distinct().limit(2).count() > 1:
         Store(spark).delete(f"{uri}/staged")
-        raise ShapeError("series differ in shape")
+        raise ShapeError("volumes differ in shape")
     if obs is not None:
         ids = unique_obs_ids(pairs, name)
         extra = obs.drop(columns=[SUBJECT, *([OBS] if OBS in obs.columns else [])]).assign(**{OBS: ids})

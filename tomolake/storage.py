@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tomolake.config import get_config
 from tomolake.errors import StorageError
 
 
@@ -20,8 +21,26 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(uri)
 
     def _fs(self, uri: str):
+        if uri.startswith(("s3a://", "s3://")):
+            get_config().s3.apply(self.spark)
         return self._path(uri).getFileSystem(self._conf)
 
+    def qualified(self, uri: str) -> str:
+        """The name by which Spark's readers report a file."""
+        return self._fs(uri).makeQualified(self._path(uri)).toString()
+
+    def listed(self, uri: str) -> list[str]:
+        """Files at a path, below a directory, or that fit a pattern, in order."""
+        fs, out = self._fs(uri), []
+        for status in fs.globStatus(self._path(uri)) or []:
+            if not status.isDirectory():
+                out.append(status.getPath().toString())
+                continue
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                out.append(files.next().getPath().toString())
+        return sorted(out)
+
     def exists(self, uri: str) -> bool:
         return bool(self._fs(uri).exists(self._path(uri)))
 
