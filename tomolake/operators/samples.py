@@ -141,15 +141,27 @@ def cut_boxes(vs: VolumeSet, boxes: DataFrame) -> DataFrame:
     tiles = vs.tiles.withColumnsRenamed({"x0": "tx", "y0": "ty", "z0": "tz"})
     pairs = asked.drop("_tile").join(tiles, [OBS, "cx", "cy", "cz"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        box = tuple((int(r[f"{a}0"]), int(r[f"{a}1"])) for a in "xyz") + ((0, int((pdf["t0"] + pdf["nt"]).max())),)
-        rows = pdf.drop(columns=["x0", "y0", "z0"]).rename(columns={"tx": "x0", "ty": "y0", "tz": "z0"}).to_dict("records")
-        a = voxels.assemble(rows, box, r["dtype"])
-        a = a[..., 0] if a.shape[3] == 1 else a
-        return pd.DataFrame([(int(r["idx"]), r[OBS], list(a.shape), a.dtype.str, a.tobytes())], columns=["idx", OBS, "shape", "dtype", "voxels"])
-
-    return pairs.groupBy("idx").applyInPandas(one, f"idx long, {OBS} string, shape array<int>, dtype string, voxels binary")
+    def each(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.binary()]
+        out: list[tuple] = []
+        size = 0
+        for rows in voxels.streamed(batches, "idx"):
+            r = rows[0]
+            box = tuple((r[f"{a}0"], r[f"{a}1"]) for a in "xyz") + ((0, max(x["t0"] + x["nt"] for x in rows)),)
+            a = voxels.assemble([x | {"x0": x["tx"], "y0": x["ty"], "z0": x["tz"]} for x in rows], box, r["dtype"])
+            a = a[..., 0] if a.shape[3] == 1 else a
+            out.append((r["idx"], r[OBS], list(a.shape), a.dtype.str, a.tobytes()))
+            size += a.nbytes
+            if size > 16 << 20 or len(out) == 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["idx", OBS, "shape", "dtype", "voxels"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["idx", OBS, "shape", "dtype", "voxels"])
+
+    dealt = pairs.repartition("idx").sortWithinPartitions("idx")  # a task holds the tiles of one sample at a time
+    return dealt.mapInArrow(each, f"idx long, {OBS} string, shape array<int>, dtype string, voxels binary")
 
 
 def _placed(vs: VolumeSet) -> DataFrame:
