@@ -126,3 +126,24 @@ def test_meta_of_files_stays(spark, tmp_path, make):
     vs = VolumeSet.from_niftis(spark, str(tmp_path / "c"), [(str(tmp_path / "a.nii"), "a")], name="x")
     m = vs["a_x"].meta
     assert json.loads(m["affine_json"])[2][2] == 2.0 and m["datatype"] == "16" and float(m["scl_slope"]) == 1.0
+
+
+def test_reads_by_another_file_system(spark, tmp_path, make, monkeypatch):
+    """Single reads of a store that pyarrow opens take the same row groups, without a job."""
+    from pyarrow import fs
+
+    from tomolake.config import S3Config
+    from tomolake.operators import volumeset
+    from tomolake.storage import opened
+
+    vs = VolumeSet.from_arrays(spark, str(tmp_path / "c"), [("s", f"v{i}", make((8, 8, 16), seed=i)) for i in range(2)])
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(volumeset, "opened", lambda uri: (store, uri.removeprefix(f"{tmp_path}/")))
+    far = VolumeSet(spark, vs.uri)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    np.testing.assert_array_equal(far.volume("v1").to_numpy(), make((8, 8, 16), seed=1))
+    np.testing.assert_array_equal(far.volume("v0").axial(3), make((8, 8, 16), seed=0)[:, :, 3])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == jobs
+    assert opened("hdfs://x/y") is None and opened(str(tmp_path / "none")) is None
+    system, path = opened("s3a://bucket/a/b")
+    assert isinstance(system, fs.S3FileSystem) and path == "bucket/a/b" and S3Config(endpoint="http://host:9000", use_virtual_addressing=False).filesystem() is not None

@@ -118,6 +118,12 @@ class S3Config:
         conf.set("fs.s3a.path.style.access", str(not self.use_virtual_addressing).lower())
         conf.set("fs.s3a.multipart.size", f"{self.multipart_mb}M")
 
+    def filesystem(self):
+        """The same store for reads without a job, by pyarrow; credentials come from its default chain."""
+        from pyarrow import fs
+
+        return fs.S3FileSystem(region=self.region, endpoint_override=self.endpoint, force_virtual_addressing=bool(self.endpoint) and self.use_virtual_addressing)
+
 
 @dataclass(frozen=True)
 class Config:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from tomolake.operators.frames import OBS, SUBJECT
 from tomolake.operators.index import KeyIndex, positions
 from tomolake.operators.volume import TileFiles, VolumeRef, codes, stored
 from tomolake.plans.predicate import predicate
-from tomolake.storage import Store, snapshot
+from tomolake.storage import Store, opened, snapshot
 
 HEADER_DDL = "obs_id string, shape array<int>, dtype string, tile array<int>, meta map<string,string>"
 MANIFEST = "_collection.json"
@@ -86,18 +85,13 @@ class VolumeSet:
 
     # -- tables
 
-    def _local_path(self, rel: str) -> str | None:
-        """The path of a snapshot when this driver can open it."""
-        u = urlparse(f"{self.uri}/{rel}")
-        return u.path if u.scheme in ("", "file") and os.path.isdir(u.path) else None
-
     def local_tiles(self) -> TileFiles | None:
         """The tile files, kept open; None when this driver cannot open them."""
         if self._local is None:
-            paths = [self._local_path(t) for t in self.manifest["tiles"]]
-            if any(p is None for p in paths):
+            places = [opened(f"{self.uri}/{t}") for t in self.manifest["tiles"]]
+            if any(p is None for p in places):
                 return None
-            self._local = TileFiles(paths, [set(self._hidden.get(t, ())) for t in self.manifest["tiles"]])
+            self._local = TileFiles(places, [set(self._hidden.get(t, ())) for t in self.manifest["tiles"]])
         return self._local
 
     def warm(self, obs_id: str) -> None:
@@ -109,11 +103,11 @@ class VolumeSet:
     def header_of(self, obs_id: str) -> dict:
         """A volume's header row; the last few thousand are remembered."""
         if obs_id not in self._headers:
-            path = self._local_path(self.manifest["volumes"])
-            if path is not None:
+            place = opened(f"{self.uri}/{self.manifest['volumes']}")
+            if place is not None:
                 import pyarrow.dataset as ds
 
-                rows = ds.dataset(path, format="parquet").to_table(filter=ds.field(OBS) == obs_id).to_pylist()
+                rows = ds.dataset(place[1], format="parquet", filesystem=place[0]).to_table(filter=ds.field(OBS) == obs_id).to_pylist()
                 rows = [r | {"meta": dict(r["meta"] or [])} for r in rows]
             else:
                 rows = [r.asDict(recursive=True) for r in self.headers.where(F.col(OBS) == obs_id).limit(1).collect()]

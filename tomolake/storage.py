@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +73,18 @@ class Store:
         context.rename(self._fs(aside).makeQualified(self._path(aside)), self._fs(uri).makeQualified(self._path(uri)), options)
 
 
+def opened(uri: str):
+    """(pyarrow file system, path) by which this driver reads a URI without a job; None for other stores, and for local paths that are not here."""
+    from pyarrow import fs
+
+    u = urlparse(uri)
+    if u.scheme in ("", "file"):
+        return (fs.LocalFileSystem(), u.path) if os.path.isdir(u.path) else None
+    if u.scheme in ("s3", "s3a"):
+        return get_config().s3.filesystem(), f"{u.netloc}{u.path}"
+    return None
+
+
 def uri_exists(spark: SparkSession, uri: str) -> bool:
     return Store(spark).exists(uri)
 
