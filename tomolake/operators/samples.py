@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomolake.config import get_config
 from tomolake.errors import AlignmentError, ConfigurationError, ShapeError
 from tomolake.operators import frames, voxels
 from tomolake.operators.frames import OBS, SUBJECT
@@ -290,7 +291,7 @@ class SegmentationFrame:
         self.prob, self.seed, self.transform, self._epoch = foreground_prob, seed, transform, 0
         self.ids = list(zip(image.index.to_list(), mask.index.to_list(), strict=True))
         self._coords: dict[str, np.ndarray] = {}
-        self.most_remembered = 64
+        self._held = 0
 
     def set_epoch(self, epoch: int) -> None:
         self._epoch = epoch
@@ -300,9 +301,11 @@ class SegmentationFrame:
 
     def _foreground(self, mask_id: str) -> np.ndarray:
         if mask_id not in self._coords:
-            if len(self._coords) >= self.most_remembered:
-                self._coords.pop(next(iter(self._coords)))
-            self._coords[mask_id] = np.argwhere(self.mask.volume(mask_id).to_numpy() != 0)[:, :3]
+            found = np.argwhere(self.mask.volume(mask_id).to_numpy() != 0)[:, :3].astype(np.int32)
+            while self._coords and self._held + found.nbytes > get_config().read.memory_mb << 20:
+                self._held -= self._coords.pop(next(iter(self._coords))).nbytes
+            self._coords[mask_id] = found
+            self._held += found.nbytes
         return self._coords[mask_id]
 
     def __getitem__(self, idx: int) -> dict:
