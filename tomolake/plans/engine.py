@@ -1055,6 +1055,45 @@ def settings(s, d):
     return _cases(s, rows, "setting string, value string")
 
 
+@_query
+def store_options(s, d):
+    """What the settings of an object store set in the session's Hadoop options; they are put back afterwards."""
+    from tomolake.config import S3Config
+
+    conf = s.sparkContext._jsc.hadoopConfiguration()
+    keys = ["fs.s3a.endpoint.region", "fs.s3a.endpoint", "fs.s3a.path.style.access", "fs.s3a.multipart.size"]
+    before = {k: conf.get(k) for k in keys}
+    S3Config(region="eu-west-1", endpoint="http://store:9000", use_virtual_addressing=False, multipart_mb=32).apply(s)
+    rows = [(k, conf.get(k)) for k in keys]
+    for k, v in before.items():
+        conf.unset(k) if v is None else conf.set(k, v)
+    return _cases(s, rows, "option string, value string")
+
+
+@_query
+def exported_names(s, d):
+    """Every public name resolves."""
+    import tomolake
+
+    return _cases(s, [(k, getattr(tomolake, k).__name__ == k) for k in tomolake.__all__], "name string, resolves boolean").groupBy("resolves").agg(F.count("*").alias("n")).where("n >= 30").select("resolves")
+
+
+@_query
+def arrived_volumes(s, d):
+    """Files that arrive in a folder in two waves, as a stream appends them; what a third run finds again is not new."""
+    from tomolake.streaming.arrivals import append_arrivals
+
+    n, uri = _niftis(s, d), workspace.fresh(s, "seen")
+    folder = workspace.local_path(workspace.fresh(s, "arrivals"))
+    os.makedirs(folder)
+    for wave, marks in ((0, "a"), (1, "b"), (None, "c")):
+        for f in sorted(os.listdir(n)) if wave is not None else []:
+            if int(f[1:10]) % 4 == wave:
+                os.link(f"{n}/{f}", f"{folder}/{f}")
+        append_arrivals(s, folder, uri, "seen", workspace.fresh(s, "progress") if marks == "c" else f"{uri}-progress", "*.nii", max_files=100).awaitTermination()
+    return VolumeSet(s, uri).obs.select(SUBJECT, OBS)
+
+
 @_query
 def small_functions(s, d):
     """Functions of names and values on the driver."""

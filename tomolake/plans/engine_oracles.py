@@ -195,6 +195,11 @@ def oracle_sql() -> dict[str, str]:
         "loader_ranks": _ct("""SELECT i % 3 AS rank, i % n AS idx FROM (SELECT n, unnest(range((n + 2) // 3 * 3)) AS i FROM ct_n)"""),
         "dataset_of_collection": _ct("SELECT 'samples' AS what, count(*) AS n FROM ct WHERE label = 1 UNION ALL SELECT 'patch', 8"),
         "settings": _values("setting VARCHAR, value VARCHAR", *((k, "refused") for k in ("tile of 0", "level below 0", "unknown orientation", "no workers", "patch without size", "no patches", "unknown plane")), ("workers", "4"), ("tiles", "axial"), ("target", "RAS")),
+        "store_options": _values(
+            "option VARCHAR, value VARCHAR", ("fs.s3a.endpoint.region", "eu-west-1"), ("fs.s3a.endpoint", "http://store:9000"), ("fs.s3a.path.style.access", "true"), ("fs.s3a.multipart.size", "32M")
+        ),
+        "exported_names": "SELECT TRUE AS resolves",
+        "arrived_volumes": f"SELECT {half_pairs} AS obs_subject_id, {half_pairs} || '_seen' AS obs_id FROM embeddings WHERE vec_id % 4 IN (0, 1)",
         "small_functions": _values(
             "what VARCHAR, value VARCHAR", ("stem", "lung_001"), ("summary of array", "2x3 int16"), ("summary of number", "1.2500"), ("summary of text", "x"), ("named sibling", "/x/mr"), ("sibling", "/x/ct_written"),
             ("tuple", "(1.0, 2.5)"), ("affine", "[0.0, 0.0, 0.0, 1.0]"),
