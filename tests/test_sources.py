@@ -243,3 +243,18 @@ def test_config():
             bad()
     for error, base in ((ShapeError, ValueError), (AlignmentError, ValueError), (SchemaError, ValueError), (IngestError, ValueError), (StorageError, RuntimeError), (ViewError, TypeError)):
         assert issubclass(error, base) and issubclass(error, TomolakeError)
+
+
+def test_arrivals_go_by_files_not_by_hundreds(spark, files, tmp_path, make, monkeypatch):
+    """The query takes a wave in one batch, whatever the table's rows up to the operator's bound; small batches give the same volumes."""
+    from tomolake.plans import engine
+
+    calls, plain = [], VolumeSet.append
+    monkeypatch.setattr(VolumeSet, "append", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    d = str(tmp_path / "sf")
+    spark.createDataFrame([(i, 0, [float(i)] * 64) for i in range(420)], "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    got = sorted(r.obs_id for r in engine.queries()["arrived_volumes"](spark, d).collect())
+    assert len(got) == len(set(got)) == 210 and len(calls) == 1
+    uri = str(tmp_path / "small")
+    append_arrivals(spark, str(files / "T1w"), uri, "MR", str(tmp_path / "ck"), max_files=1).awaitTermination()
+    assert sorted(VolumeSet(spark, uri).index.to_list()) == ["sub0_MR", "sub1_MR", "sub2_MR"] and len(calls) == 3

@@ -1090,7 +1090,7 @@ def arrived_volumes(s, d):
         for f in sorted(os.listdir(n)) if wave is not None else []:
             if int(f[1:10]) % 4 == wave:
                 os.link(f"{n}/{f}", f"{folder}/{f}")
-        append_arrivals(s, folder, uri, "seen", workspace.fresh(s, "progress") if marks == "c" else f"{uri}-progress", "*.nii", max_files=100).awaitTermination()
+        append_arrivals(s, folder, uri, "seen", workspace.fresh(s, "progress") if marks == "c" else f"{uri}-progress", "*.nii").awaitTermination()
     return VolumeSet(s, uri).obs.select(SUBJECT, OBS)
 
 
